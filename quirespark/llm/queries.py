@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ring, simhash, warc
+from . import decontaminate, ring, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_bounded_ring": ring.op2_bounded_ring,
     "op6_simhash_covering": simhash.op6_simhash_covering,
+    "op10_fm_index": decontaminate.op10_fm_index,
 }
 
 ORACLE: dict[str, str] = {}
