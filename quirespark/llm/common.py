@@ -60,3 +60,11 @@ def steps(columns: dict, sizes: list[int], most: int = STEP_BYTES) -> Iterator[s
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def hash_sample(df: DataFrame, key: str, strata: str, rows: dict, seed: str = "sample") -> DataFrame:
+    """Of the rows of each stratum in rows {stratum: (rows there are, rows wanted)}, those whose hashed key falls in the wanted share."""
+    share = F.lit(0.0)
+    for value, (n, want) in rows.items():
+        share = F.when(F.col(strata) == F.lit(value), F.lit(min(1.0, want / max(1, n)))).otherwise(share)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share * float(1 << 30))

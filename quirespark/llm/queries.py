@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ring, simhash, warc
+from . import decontaminate, langid, ring, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_bounded_ring": ring.op2_bounded_ring,
+    "op5_subword_softmax": langid.op5_subword_softmax,
     "op6_simhash_covering": simhash.op6_simhash_covering,
+    "op8_levenshtein_trie": toxicity.op8_levenshtein_trie,
     "op10_fm_index": decontaminate.op10_fm_index,
 }
 
