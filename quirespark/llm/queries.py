@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ring, simhash, toxicity, warc
+from . import decontaminate, langid, pieces, ring, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_bounded_ring": ring.op2_bounded_ring,
+    "op4_suffix_pieces": pieces.op4_suffix_pieces,
     "op5_subword_softmax": langid.op5_subword_softmax,
     "op6_simhash_covering": simhash.op6_simhash_covering,
     "op8_levenshtein_trie": toxicity.op8_levenshtein_trie,
