@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pieces, ring, simhash, toxicity, warc
+from . import ann, decontaminate, langid, licenses, pieces, preference, ring, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_bounded_ring": ring.op2_bounded_ring,
+    "op3_preference_pairs": preference.op3_preference_pairs,
     "op4_suffix_pieces": pieces.op4_suffix_pieces,
     "op5_subword_softmax": langid.op5_subword_softmax,
     "op6_simhash_covering": simhash.op6_simhash_covering,
+    "op7_collision_counting": ann.op7_collision_counting,
     "op8_levenshtein_trie": toxicity.op8_levenshtein_trie,
+    "op9_license_tfidf": licenses.op9_license_tfidf,
     "op10_fm_index": decontaminate.op10_fm_index,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_preference_pairs": preference.SQL}
