@@ -142,7 +142,7 @@ class Automaton:
         return (begun, 0) if begun >= 0 else None
 
 
-FEATURES = ("whole", "near", "begun", "quoted", "addressed", "share")
+FEATURES = ("whole", "near", "begun", "quoted", "addressed", "share", "strongest")
 
 
 @dataclass
@@ -175,7 +175,7 @@ class Reader:
             match = self.automaton.match
             for w in new:
                 known[w] = match(w)
-        out = [0.0] * len(FEATURES)
+        out, strongest = [0.0] * (len(FEATURES) - 1), 0.0
         found = [i for i, w in enumerate(tokens) if known[w] is not None]
         for i in found:
             term, edits = known[tokens[i]]
@@ -187,11 +187,13 @@ class Reader:
                 out[3] += w
                 continue
             out[0 if self.automaton.whole[term] and not edits else 1 if edits else 2] += w
+            if not edits:
+                strongest = max(strongest, w)
             if not (_ADDRESS.isdisjoint(left) and _ADDRESS.isdisjoint(right)):
                 out[4] += w
         words = max(1, len(tokens))
         out[5] = 100 * sum(out[:3]) / words
-        return [math.log1p(x) for x in out]
+        return [*map(math.log1p, out), strongest]
 
 
 def units(text: Column) -> Column:
