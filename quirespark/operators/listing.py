@@ -71,16 +71,23 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("upload_time"), F.desc("id"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, ranges: int = 64) -> DataFrame:
     """df with `position`, its place in newest_first(), without a global window.
 
-    Rows are cut into ranges of time by Spark's range partitioning, numbered within each,
-    and shifted by the rows of the ranges before, which are few.
+    Rows are cut into ranges of upload time at approximate quantiles, numbered within each,
+    and shifted by the number of rows in the ranges before: counts of at most `ranges` + 1 rows.
     """
-    dealt = df.repartitionByRange(F.desc("upload_time"), F.desc("id")).withColumn("_part", F.spark_partition_id())
-    own = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(F.desc("upload_time"), F.desc("id"))))
-    before = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("position", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+    micros = F.expr("coalesce(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', upload_time), -9223372036854775808)")
+    quantiles = df.agg(F.percentile_approx(micros, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    later = F.array(*(F.lit(c) for c in sorted(set(quantiles)))).cast("array<bigint>")
+    cut = df.withColumn("_range", F.size(F.filter(later, lambda c: c > micros)))
+    sizes = sorted((r["_range"], r["count"]) for r in cut.groupBy("_range").count().collect())
+    before, total = F.lit(0), 0
+    for part, n in sizes:
+        before = F.when(F.col("_range") == part, F.lit(total)).otherwise(before)
+        total += n
+    own = F.row_number().over(W.partitionBy("_range").orderBy(F.desc("upload_time"), F.desc("id")))
+    return cut.withColumn("position", (before + own).cast("long")).drop("_range")
 
 
 def facets(df: DataFrame) -> DataFrame:
