@@ -147,9 +147,9 @@ def actions(status: Column, mime: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    """Bytes in units of 1024 with one decimal, TB at most; 0 is '0 B'."""
+    """Bytes in units of 1024 with one decimal (halves to the even one), TB at most; 0 is '0 B'."""
     unit = F.least(F.lit(len(SIZES) - 1), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10 + F.lit(1e-12))).cast("int")
-    return F.when(n == 0, "0 B").otherwise(F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), unit)), F.lit(" "), F.element_at(F.array(*map(F.lit, SIZES)), unit + 1)))
+    return F.when(n == 0, "0 B").otherwise(F.concat(F.format_string("%.1f", F.bround(n / F.pow(F.lit(1024.0), unit), 1)), F.lit(" "), F.element_at(F.array(*map(F.lit, SIZES)), unit + 1)))
 
 
 def progress(status: Column, value: Column) -> Column:

@@ -6,7 +6,8 @@ ratio to the term of at least the threshold. Ratios are not symmetric: the term
 
 Exact tests are expressions. Only for texts that fail them are words made; those whose
 length alone keeps the ratio under the threshold are dropped, the rest reduced to distinct
-words by partial aggregates, and each distinct word is compared once.
+words by partial aggregates. Of these only the ones with enough letters in common reach
+Python, each once.
 """
 
 from __future__ import annotations
@@ -47,6 +48,14 @@ def candidates(normal: Column, term: str, threshold: float) -> Column:
     return F.array_distinct(F.concat(single, F.filter(fragments(normal, len(term.split())), near)))
 
 
+def alike(w: Column, term: str, threshold: float) -> Column:
+    """Whether letters in common, in whatever order, allow the threshold."""
+    common = F.lit(0)
+    for c in sorted(set(term)):
+        common = common + F.least(F.length(w) - F.length(F.replace(w, F.lit(c), F.lit(""))), F.lit(term.count(c)))
+    return 2 * common / (F.length(w) + len(term)) >= threshold
+
+
 def fuzzy_match(df: DataFrame, key: str, text: str, term: str | None, threshold: float = THRESHOLD) -> DataFrame:
     """(key, matched) for every row of df; key identifies rows."""
     n = normalized(term)
@@ -57,6 +66,6 @@ def fuzzy_match(df: DataFrame, key: str, text: str, term: str | None, threshold:
     if len(n) <= 2:
         return own.select(key, exact.alias("matched"))
     rest = own.where(~exact & F.col("_some")).select(key, F.explode(candidates(F.col("_n"), n, threshold)).alias("_w"))
-    hits = rest.select("_w").distinct().where(ratio(n, F.col("_w")) >= threshold)
+    hits = rest.select("_w").distinct().where(alike(F.col("_w"), n, threshold)).where(ratio(n, F.col("_w")) >= threshold)
     found = rest.join(hits, "_w", "left_semi").select(key).distinct().withColumn("_hit", F.lit(True))
     return own.join(found, key, "left").select(key, (exact | F.coalesce("_hit", F.lit(False))).alias("matched"))
