@@ -1,71 +1,79 @@
-"""Fuzzy matching of a term in a text column, by way of the distinct words of all texts.
+"""Fuzzy matching of a term in a text column, as a column expression: no join, no shuffle.
 
 A text matches if its normalized form holds the normalized term, or if one of its words,
 or for a term of several words one of its runs of as many words, has a Ratcliff-Obershelp
 ratio to the term of at least the threshold. Ratios are not symmetric: the term comes first.
 
-Exact tests are expressions. Only for texts that fail them are words made; those whose
-length alone keeps the ratio under the threshold are dropped, the rest reduced to distinct
-words by partial aggregates. Of these only the ones with enough letters in common reach
-Python, each once.
+Texts are normalized by built-in expressions and go to Python in Arrow batches. There each
+distinct word is tried once and remembered, and most fail two upper bounds of the ratio, by
+length and by letters in common, before it is computed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import fragments, normalize, normalized, words
+from ..functions.text import normalize, normalized
 
 THRESHOLD = 0.7
+#: Words that a task remembers.
+CACHE = 200_000
 
 
-def ratio(term: str, candidate: Column) -> Column:
-    """Ratio of a normalized term to normalized candidates."""
+def similar_to(term: str, threshold: float) -> Callable[[str], bool]:
+    """Whether the ratio of a normalized term to a string reaches the threshold."""
+    n, letters = len(term), Counter(term)
 
-    @pandas_udf("double")
-    def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: SequenceMatcher(None, term, x).ratio())
+    def similar(w: str) -> bool:
+        least = threshold * (n + len(w)) / 2 - 1e-9  # matching letters that it takes
+        if min(n, len(w)) < least or sum(min(k, w.count(c)) for c, k in letters.items()) < least:
+            return False
+        return SequenceMatcher(None, term, w).ratio() >= threshold
 
-    return of(candidate)
+    return lru_cache(CACHE)(similar)
 
 
-def candidates(normal: Column, term: str, threshold: float) -> Column:
-    """Distinct words and runs of words of a normalized text that could reach the threshold."""
-    n = len(term)
+def any_similar(term: str, normal: Column, threshold: float) -> Column:
+    """Whether a normalized text holds a normalized term, or a word or run of words similar to it."""
+    size, n = term.count(" ") + 1, len(term)
+    short, long = n * max(0.7, threshold / (2 - threshold)) - 1e-9, n * (2 - threshold) / threshold + 1e-9
 
-    def near(w: Column) -> Column:
-        # twice the shorter length over the sum of lengths is the most that a ratio can be
-        return 2 * F.least(F.length(w), F.lit(n)) / (F.length(w) + n) >= threshold
+    @pandas_udf(T.BooleanType())
+    def found(texts: pd.Series) -> pd.Series:
+        similar = similar_to(term, threshold)
 
-    single = F.filter(words(normal), lambda w: (F.length(w) >= n * 0.7) & near(w))
-    if " " not in term:
-        return F.array_distinct(single)
-    return F.array_distinct(F.concat(single, F.filter(fragments(normal, len(term.split())), near)))
+        def one(text: str | None) -> bool:
+            if not text or term in text:
+                return bool(text)
+            words = text.split()
+            if any(similar(w) for w in set(words) if short <= len(w) <= long):
+                return True
+            return size > 1 and any(similar(" ".join(words[i : i + size])) for i in range(len(words) - size + 1))
 
+        return texts.map(one)
 
-def alike(w: Column, term: str, threshold: float) -> Column:
-    """Whether letters in common, in whatever order, allow the threshold."""
-    common = F.lit(0)
-    for c in sorted(set(term)):
-        common = common + F.least(F.length(w) - F.length(F.replace(w, F.lit(c), F.lit(""))), F.lit(term.count(c)))
-    return 2 * common / (F.length(w) + len(term)) >= threshold
+    return found(normal)
 
 
-def fuzzy_match(df: DataFrame, key: str, text: str, term: str | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, matched) for every row of df; key identifies rows."""
-    n = normalized(term)
-    own = df.select(F.col(key), normalize(F.col(text)).alias("_n"), F.coalesce(F.col(text) != "", F.lit(False)).alias("_some"))
+def fuzzy(text: Column, term: str | None, threshold: float = THRESHOLD) -> Column:
+    """Whether a text matches a term. Nothing matches an empty text or term; a term of one or two characters, normalized, must be in the text as it is."""
     if not term:
-        return own.select(key, F.lit(False).alias("matched"))
-    exact = F.col("_some") & F.contains("_n", F.lit(n))
+        return F.lit(False)
+    n = normalized(term)
     if len(n) <= 2:
-        return own.select(key, exact.alias("matched"))
-    rest = own.where(~exact & F.col("_some")).select(key, F.explode(candidates(F.col("_n"), n, threshold)).alias("_w"))
-    hits = rest.select("_w").distinct().where(alike(F.col("_w"), n, threshold)).where(ratio(n, F.col("_w")) >= threshold)
-    found = rest.join(hits, "_w", "left_semi").select(key).distinct().withColumn("_hit", F.lit(True))
-    return own.join(found, key, "left").select(key, (exact | F.coalesce("_hit", F.lit(False))).alias("matched"))
+        return F.coalesce(text != "", F.lit(False)) & F.contains(normalize(text), F.lit(n))
+    return any_similar(n, normalize(text), threshold)
+
+
+def fuzzy_match(df: DataFrame, key: str, text: str, term: str | None, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, matched) for every row of df."""
+    return df.select(key, fuzzy(F.col(text), term, threshold).alias("matched"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .fuzzy import fuzzy_match
+from .fuzzy import fuzzy as fuzzy_column
 
 #: What a first visit of the list of cases shows.
 DEFAULT_STEPS = ("k1", "k2", "k3")
@@ -48,20 +48,13 @@ def search(df: DataFrame, term: str | None, content: bool = False, fuzzy: bool =
     low = term.lower()
     meta = F.contains(metadata(), F.lit(low))
     text = F.coalesce(F.contains(F.lower("text"), F.lit(low)), F.lit(False)) if content else F.lit(False)
-    tagged = df.withColumns({"_meta": meta, "_text": text})
-    near_meta = near_text = F.lit(False)
-    if fuzzy:
-        names = fuzzy_match(tagged.where(~F.col("_meta")).select("id", metadata().alias("_m")), "id", "_m", term).withColumnRenamed("matched", "_near_meta")
-        tagged = tagged.join(names, "id", "left")
-        near_meta = F.coalesce("_near_meta", F.lit(False))
-        if content:
-            texts = fuzzy_match(tagged.where(~F.col("_text")).select("id", "text"), "id", "text", term).withColumnRenamed("matched", "_near_text")
-            tagged = tagged.join(texts, "id", "left")
-            near_text = F.coalesce("_near_text", F.lit(False))
+    near_meta = fuzzy_column(F.when(~meta, metadata()), term) if fuzzy else F.lit(False)
+    near_text = fuzzy_column(F.when(~text, F.col("text")), term) if fuzzy and content else F.lit(False)
+    tagged = df.withColumns({"_meta": meta, "_text": text, "_near_meta": near_meta, "_near_text": near_text})
     matches = F.array_compact(
         F.array(
-            F.when(F.col("_meta"), "metadata").when(near_meta, "fuzzy_metadata"),
-            F.when(F.col("_text"), "content").when(near_text, "fuzzy_content"),
+            F.when(F.col("_meta"), "metadata").when(F.col("_near_meta"), "fuzzy_metadata"),
+            F.when(F.col("_text"), "content").when(F.col("_near_text"), "fuzzy_content"),
         )
     )
     return tagged.withColumn("matches", matches).where(F.size("matches") > 0).select(*df.columns, "matches")
