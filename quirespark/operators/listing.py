@@ -105,6 +105,8 @@ def export(df: DataFrame) -> DataFrame:
 
 
 def by_id(df: DataFrame, key: int) -> DataFrame:
-    """The row of an id, an error if there is none once the result is read."""
+    """The row of an id; LookupError if there is none."""
     found = df.where(F.col("id") == key)
-    return found.unionByName(df.sparkSession.range(1).where(F.lit(found.isEmpty())).select(*(F.raise_error(F.lit(f"no document {key}")).cast(f.dataType).alias(f.name) for f in df.schema))) if found.isEmpty() else found
+    if found.isEmpty():
+        raise LookupError(f"no document {key}")
+    return found

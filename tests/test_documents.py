@@ -45,8 +45,8 @@ def test_search(spark):
     assert found == {1: ["content"], 3: ["fuzzy_content"]}
     assert {r.id: r.matches for r in listing.search(d, "!!!", content=True, fuzzy=True).collect()} == {1: ["fuzzy_metadata", "fuzzy_content"], 2: ["fuzzy_metadata"], 3: ["fuzzy_metadata", "fuzzy_content"]}
     assert listing.by_id(d, 2).first().id == 2
-    with pytest.raises(Exception, match="no document 9"):
-        listing.by_id(d, 9).collect()
+    with pytest.raises(LookupError, match="no document 9"):
+        listing.by_id(d, 9)
 
 
 def test_numbering_is_the_order(spark):
