@@ -189,12 +189,15 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text)."""
     fps = cut(fingerprints(docs, width))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = cut(distinct.join(roots, "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    of_linked = linked.join(least, "root").select("fp", "component_id")
+    # a fingerprint of one document that is linked to no other needs no join
+    shared = distinct.join(of_linked, "fp", "left").where("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("_shared"))
+    met = fps.join(bounded(cut(shared)), "fp", "left")
+    return met.select("doc_id", "fp", F.when(F.col("_shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
