@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +47,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def without(df: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df without the rows whose key is in gone; rows with a null key stay."""
+    side = cut(gone.where(F.col(key).isNotNull()).select(key).distinct())
+    return df.join(bounded(side), key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def id_bucket(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def steps(columns: dict, sizes: list[int], most: int = STEP_BYTES) -> Iterator[slice]:
+def steps(sizes: list[int], most: int = STEP_BYTES) -> Iterator[slice]:
     """Slices of rows whose sizes add up to at most `most`; a larger row comes alone."""
     start = total = 0
     for i, n in enumerate(sizes):
@@ -62,6 +70,12 @@ def steps(columns: dict, sizes: list[int], most: int = STEP_BYTES) -> Iterator[s
         yield slice(start, len(sizes))
 
 
+def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of text, so that few texts are Python objects at a time."""
+    for s in steps(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+        yield batch.slice(s.start, s.stop - s.start)
+
+
 def hash_sample(df: DataFrame, key: str, strata: str, rows: dict, seed: str = "sample") -> DataFrame:
     """Of the rows of each stratum in rows {stratum: (rows there are, rows wanted)}, those whose hashed key falls in the wanted share."""
     share = F.lit(0.0)

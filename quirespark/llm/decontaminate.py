@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, table
+from .common import table, text_steps, without
 from .fmindex import Index
 
 WINDOW = 13
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, held, size = sent.value, [], 0
-        for b in batches:
+        for b in (s for batch in batches for s in text_steps(batch, "t")):
             for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "_spans", "_items")), strict=True):
                 ids = np.fromiter(map(p.ids.get, w := words(row[1]), repeat(0)), np.int32, len(w))
                 held.append((row if not last else (row[0], None, *row[2:]), ids))
@@ -201,8 +201,7 @@ def cut_spans(text: str, spans: list[int]) -> str:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; a contaminated row takes all rows of its id with it, and rows without id stay."""
-    gone = cut(decontaminate(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, decontaminate(docs, benchmark).where("contaminated"))
 
 
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, hash_sample, id_bucket, steps, table
+from .common import hash_sample, id_bucket, steps, table, text_steps, without
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -139,7 +139,7 @@ def train(sample: list[tuple[str, str]]) -> Model:
             np.add.at(emb, b, -rate * c * np.repeat(back, n, axis=0) * 8)
     model.rows, model.bias = emb @ w.T, bias.astype(float)
     texts = [sample[i][0] for i in check]
-    z = np.concatenate([model.logits(texts[s])[0] for s in steps({}, [len(t) for t in texts])])
+    z = np.concatenate([model.logits(texts[s])[0] for s in steps([len(t) for t in texts])])
     temperatures = np.geomspace(0.05, 20, 60)
     loss = [-np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in temperatures]
     model.temperature = float(temperatures[int(np.argmin(loss))])
@@ -167,12 +167,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            got = [m.predict(texts[s]) for s in steps({}, [len(t) for t in texts])]
-            if not got:
-                continue
-            best, p = (np.concatenate(x) for x in zip(*got, strict=True))
+        for b in (s for batch in batches for s in text_steps(batch)):
+            best, p = m.predict([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(p), pa.array((best < 0) | (p < m.least))], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -180,8 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """docs without those whose language is unknown or uncertain; rows without id are kept."""
-    gone = cut(identify(docs, learn(docs)).where("rejected and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, identify(docs, learn(docs)).where("rejected"))
 
 
 def op5_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:

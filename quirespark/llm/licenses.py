@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, steps, table
+from .common import bounded, cut, table, text_steps
 from .decontaminate import words
 
 THRESHOLD = 0.6
@@ -80,9 +80,9 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
         total = np.zeros(len(v.ids) + 1, np.int64)
         for b in batches:
             total[0] += b.num_rows
-            for t in b.column("t").to_pylist():
-                found = {v.ids[w] for w in v.ids.keys() & set(words(t))}
-                total[list(found)] += 1
+            for s in text_steps(b, "t"):
+                for t in s.column("t").to_pylist():
+                    total[[v.ids[w] for w in v.ids.keys() & set(words(t))]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
 
     rows = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the templates
@@ -134,20 +134,17 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, idf = sent.value
-        for b in batches:
-            texts = [t or b"" for t in b.column("t").to_pylist()]
-            names, scores = [], []
-            for s in steps({}, [len(t) for t in texts]):
-                lines = [[v.tokens(x) for x in t.split(b"\n")] for t in texts[s]]
-                count = np.array([len(x) for x in lines], np.int64)
-                best, score = cosines(v, idf, [x for y in lines for x in y], threshold)
-                whole = cosines(v, idf, [np.concatenate(y) for y in lines], threshold)
-                first = np.cumsum(count) - count
-                for i, (f, n) in enumerate(zip(first, count, strict=True)):
-                    k = f + int(score[f : f + n].argmax())
-                    c, t = max((float(score[k]), -int(best[k])), (float(whole[1][i]), -int(whole[0][i])))
-                    names.append(v.names[-t] if t <= 0 and c > 0 else None)
-                    scores.append(min(1.0, c))
+        for b in (s for batch in batches for s in text_steps(batch, "t")):
+            lines = [[v.tokens(x) for x in (t or b"").split(b"\n")] for t in b.column("t").to_pylist()]
+            count = np.array([len(x) for x in lines], np.int64)
+            best, score = cosines(v, idf, [x for y in lines for x in y], threshold)
+            whole = cosines(v, idf, [np.concatenate(y) for y in lines], threshold)
+            first, names, scores = np.cumsum(count) - count, [], []
+            for i, (f, n) in enumerate(zip(first, count, strict=True)):
+                k = f + int(score[f : f + n].argmax())
+                c, t = max((float(score[k]), -int(best[k])), (float(whole[1][i]), -int(whole[0][i])))
+                names.append(v.names[-t] if t <= 0 and c > 0 else None)
+                scores.append(min(1.0, c))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "path", "own_license", "own_score"])
 
     return files.select("doc_id", "path", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, path string, own_license string, own_score double")

@@ -31,14 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import steps, table
+from .common import steps, table, text_steps
 
 #: A public model; the path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 200
 #: Words that a task remembers.
-CACHE = 500_000
+CACHE = 400_000
+#: Characters of new words that are indexed together.
+INDEX = 500_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -256,8 +258,8 @@ class Encoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(set().union(*split))
-        if new:
-            known.update(zip(new, encode_words(m, new), strict=True))
+        for s in steps([len(w) + 1 for w in new], INDEX):
+            known.update(zip(new[s], encode_words(m, new[s]), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
         return out if m.has_bytes else [x[np.r_[True, (x[1:] != m.unknown) | (x[:-1] != m.unknown)]] if len(x) else x for x in out]
 
@@ -277,13 +279,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(sent.value)
-        for b in batches:
-            ids, texts = b.column("doc_id"), [t or "" for t in b.column("text").to_pylist()]
-            for s in steps({}, [len(t) for t in texts]):
-                got = e.encode(texts[s])
-                flat = pa.array(np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32))
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids[s.start : s.stop], pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "ids"])
+        for b in (s for batch in batches for s in text_steps(batch)):
+            got = e.encode([t or "" for t in b.column("text").to_pylist()])
+            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got).astype(np.int32)))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -307,12 +306,11 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(sent.value)
-        for b in batches:
-            ids, texts = b.column("doc_id"), [t or "" for t in b.column("text").to_pylist()]
-            for s in steps({}, [len(t) for t in texts]):
-                got = e.encode(texts[s])
-                same = [a == t.replace(SPACE, " ") for a, t in zip(e.decode(got), texts[s], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids[s.start : s.stop], pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+        for b in (s for batch in batches for s in text_steps(batch)):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            got = e.encode(texts)
+            same = [a == t.replace(SPACE, " ") for a, t in zip(e.decode(got), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import bounded, cut, steps, table
+from .common import bounded, cut, table, text_steps, without
 from .components import components
 
 RADIUS = 3
@@ -72,10 +72,8 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp long) of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("t").to_pylist()
-            got = [fingerprint(texts[s], width) for s in steps({}, [len(t or b"") for t in texts])]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["doc_id", "fp"])
+        for b in (s for batch in batches for s in text_steps(batch, "t")):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint(b.column("t").to_pylist(), width))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
@@ -202,9 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents whose component has a smaller id. Rows that share the kept id are one document; those without id stay."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = cut(gone)
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, near_duplicates(docs).where("component_id <> doc_id"))
 
 
 def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

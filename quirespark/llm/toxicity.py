@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, hash_sample, id_bucket, table
+from .common import cut, hash_sample, id_bucket, table, text_steps, without
 
 SAMPLE = 4_000
 SAMPLE_BYTES = 20_000
@@ -40,7 +40,7 @@ EDITS = 1
 FUZZY = 5
 PREFIX = (4, 8)
 CONTEXT = 6
-CACHE = 400_000
+CACHE = 250_000
 HELD_OUT, FOLDS = 0, 5
 
 _TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
@@ -242,7 +242,7 @@ def read(docs: DataFrame, terms: list[tuple[str, bool]], weights: list[float]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*sent.value)
-        for b in batches:
+        for b in (s for batch in batches for s in text_steps(batch)):
             x = [reader.features(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(x, pa.list_(pa.float64()))], names=[*others, "features"])
 
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         reader = Reader(m.terms, m.weights)
-        for b in batches:
+        for b in (s for batch in batches for s in text_steps(batch)):
             x = [reader.features(t or "") for t in b.column("text").to_pylist()]
             s = m.score(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "features"])
@@ -288,8 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted to be toxic; rows without id are kept."""
-    gone = cut(score(docs, learn(docs, labels)).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, score(docs, learn(docs, labels)).where("predicted = 1"))
 
 
 def op8_levenshtein_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
