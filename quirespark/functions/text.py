@@ -58,12 +58,19 @@ def snippet(text: Column, term: str | None, most: int = 200) -> Column:
     """
     if not term:
         return truncate(text, most)
-    normal = normalize(text)
-    found = F.instr(normal, normalized(term)) - 1
-    at = F.floor(F.when(F.length(normal) > 0, found * F.length(text) / F.length(normal)).otherwise(0)).cast("int")
-    start, end = F.greatest(F.lit(0), at - most // 2), F.least(F.length(text), at + most // 2)
-    around = F.concat(F.when(start > 0, "...").otherwise(""), F.substr(text, start + 1, end - start), F.when(end < F.length(text), "...").otherwise(""))
-    return F.when((found >= 0) & (F.length(text) > 0), around).otherwise(truncate(text, most))
+    size = F.length(text)
+
+    def place(normal: Column) -> Column:
+        return F.struct((F.instr(normal, normalized(term)) - 1).alias("found"), F.length(normal).alias("size"))
+
+    def shown(hit: Column) -> Column:
+        at = F.floor(F.when(hit["size"] > 0, hit["found"] * size / hit["size"]).otherwise(0)).cast("int")
+        start, end = F.greatest(F.lit(0), at - most // 2), F.least(size, at + most // 2)
+        around = F.concat(F.when(start > 0, "...").otherwise(""), F.substr(text, start + 1, end - start), F.when(end < size, "...").otherwise(""))
+        return F.when((hit["found"] >= 0) & (size > 0), around).otherwise(truncate(text, most))
+
+    # as elements of an array the normalized text and the place are computed once, however often they are used
+    return F.transform(F.transform(F.array(normalize(text)), place), shown)[0]
 
 
 def occurrences(text: Column, term: str) -> Column:
