@@ -37,18 +37,23 @@ def lines(df: DataFrame, field: Callable[[Column], Column]) -> DataFrame:
     return df.select(F.explode(F.when(first, F.array(heading, line)).otherwise(F.array(line))).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str, files: int = 1) -> None:
+def in_files(df: DataFrame, files: int | None) -> DataFrame:
+    """df in at most so many partitions, each a file; None leaves it as it is."""
+    return df if files is None else df.coalesce(files)
+
+
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
     """UTF-8 with a byte order mark, lines ending in CR LF, fields quoted where needed. df keeps its order; every file has the heading."""
     marked = df.withColumnRenamed(df.columns[0], f"{BOM}{df.columns[0]}")
-    lines(marked.coalesce(files), minimal).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    lines(in_files(marked, files), minimal).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def write_quoted(df: DataFrame, path: str, files: int = 1) -> None:
-    lines(df.coalesce(files), always).write.mode("overwrite").text(path)
+def write_quoted(df: DataFrame, path: str, files: int | None = None) -> None:
+    lines(in_files(df, files), always).write.mode("overwrite").text(path)
 
 
-def write_plain(df: DataFrame, path: str, files: int = 1) -> None:
-    lines(df.coalesce(files), never).write.mode("overwrite").text(path)
+def write_plain(df: DataFrame, path: str, files: int | None = None) -> None:
+    lines(in_files(df, files), never).write.mode("overwrite").text(path)
 
 
 def write_texts(df: DataFrame, path: str) -> None:

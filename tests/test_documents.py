@@ -176,6 +176,16 @@ def test_exports(spark, tmp_path):
     assert sinks.as_json(d.where("id = 1"), "id", "step").first().value == '{"id":1,"step":"k1"}'
 
 
+def test_exports_keep_their_partitions(spark, tmp_path):
+    df = spark.range(0, 40, 1, 4).selectExpr("id", "id % 3 as n")
+    for name, write in (("csv", sinks.write_csv), ("q", sinks.write_quoted), ("p", sinks.write_plain)):
+        write(df, f"{tmp_path}/{name}")
+        files = sorted(Path(f"{tmp_path}/{name}").glob("part-*"))
+        assert len(files) == 4 and all(len(f.read_text().splitlines()) == 11 for f in files)
+        write(df, f"{tmp_path}/{name}1", files=1)
+        assert len(list(Path(f"{tmp_path}/{name}1").glob("part-*"))) == 1
+
+
 def drain(spark, df, mode, name):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(300)
