@@ -21,7 +21,9 @@ none is a sample; recall is measured against brute force in the tests.
 Defined cases: null, empty and zero vectors and those with a null or non-finite component
 take no part; so do vectors of another length than the most frequent one (of several, the
 longest); equal scores go to the smaller id; a row with the query's id is not its
-candidate; rows with null ids take no part; other columns are not read.
+candidate; rows with null ids take no part; of rows that share an id the one with the
+smallest vector (by its components in order) asks, and the best score counts as a
+candidate's; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,6 +58,9 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float):
         self.ids, self.x, self.n = ids, x, len(ids)
+        values, codes = np.unique(ids, return_inverse=True)
+        self.distinct = len(values)
+        self.codes = codes if self.distinct < self.n else None  # ids that repeat
         rest = np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))
         p = np.c_[x / longest, rest / longest].astype(np.float32) @ directions(x.shape[1] + 1)
         order = np.argsort(p, axis=0)
@@ -92,10 +97,16 @@ class Shard:
                 else:
                     hit = np.unpackbits(at_least(self.count(p[part], width), int(SHARE * PROJECTIONS)).view(np.uint8), axis=1, bitorder="little")[:, : self.n].astype(bool)
                 enough = np.ones(len(part), bool) if width is None else hit.sum(1) >= wanted
+                if self.codes is not None and width is not None:
+                    enough[enough] = [len(np.unique(self.codes[row])) > min(k, self.distinct - 1) for row in hit[enough]]
                 for i, row in zip(part[enough], hit[enough], strict=True):
                     at = np.nonzero(row)[0]
                     at = at[self.ids[at] != ids[i]]
                     s = (self.x[at] * q[i]).sum(1)
+                    if self.codes is not None:
+                        by = np.lexsort((-s, self.ids[at]))
+                        by = by[np.r_[True, np.diff(self.codes[at[by]]) != 0][: len(by)]]
+                        at, s = at[by], s[by]
                     if len(at) > k:
                         least = np.partition(s, len(s) - k)[len(s) - k]
                         at, s = at[s >= least], s[s >= least]
@@ -160,7 +171,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, longest = most.dim, float(most.longest) ** 0.5
-    own, asked = usable(vectors, dim), usable(queries, dim)
+    own = usable(vectors, dim)
+    asked = usable(queries, dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // QUERIES))
     found = None
     for b in range(blocks):
@@ -195,7 +207,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

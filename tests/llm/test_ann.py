@@ -79,3 +79,26 @@ def test_few_rows_and_none(spark, small):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(0, 1, 2, 5.0), (0, 2, 1, 1.0)]
     assert A.op7_collision_counting(spark, small(embeddings=([], KIND))).count() == 0
     assert A.op7_collision_counting(spark, small(embeddings=([(1, [1.0], 0)], KIND))).count() == 0
+
+
+def test_repeated_ids(spark, small):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    near = [10 * x for x in rows[0][1]]
+    rows += [rows[0], rows[20], (40, [-x for x in rows[40][1]])] + [(7, near)] * 2000 + [(7, [-x for x in near])]
+    out = A.op7_collision_counting(spark, small(embeddings=([(*r, 0) for r in rows], KIND))).collect()
+    vectors = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 20, 40}
+    for q, found in got.items():
+        own = min((v for i, v in vectors if i == q), key=list)
+        best = {}
+        for i, v in vectors:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((v * own).sum()))
+        assert [n for n, *_ in found] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        assert all(abs(s - best[v]) < 1e-9 for _, v, s in found)
+        if q == 0:
+            assert found[0][1] == 7
