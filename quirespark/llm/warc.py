@@ -12,8 +12,9 @@ id) alone; only the digests that repeat meet the payloads again.
 
 read(): records are cut at the delimiter before a record's version line by the text
 source, which can split a file between tasks; Content-Length then decides, and a
-record whose length does not fit raises an error. The writer cuts a chunk wherever
-the payload itself holds that delimiter, so every archive of ours reads back whole.
+record whose length does not fit raises an error. The writer cuts a chunk inside every
+WARC/1.1 of the payload, so none holds a version line and no header, chunk or end of a
+record makes a delimiter with its neighbours: every archive of ours reads back whole.
 Segments are put in order by (record, segment number) and hashed as they stream by.
 
 Defined cases: a null payload is an empty one; a null id is kept as null; rows with
@@ -60,8 +61,8 @@ def decide(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row for each chunk of `payload`, in order: the other columns, chunk_no (from 0), last, chunk, running_bytes, running_digest."""
-    cut_at = "(?<=\r\n\r\nWARC)(?=/1\\.1\r\n)"
-    held = F.contains("payload", F.lit(DELIMITER))
+    cut_at = "(?<=WARC)(?=/1\\.1)"
+    held = F.contains("payload", F.lit(VERSION.strip()))
     others = [c for c in records.columns if c != "payload"]
     pieces = F.when(held, F.size(F.split("payload", cut_at))).otherwise(1)
     piece = F.when(held, F.split("payload", cut_at)[F.col("_piece") - 1]).otherwise(F.col("payload")).cast("binary")

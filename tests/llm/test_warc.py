@@ -65,3 +65,11 @@ def test_running_digests(spark):
 
 def test_empty(spark, small):
     assert warc.op1_warc_chunks(spark, small(pages=([], PAGES))).count() == 0
+
+
+def test_version_lines_next_to_headers_and_ends(spark, small):
+    v = "WARC/1.1"
+    texts = [f"{v}\r\nabc", f"\r\n{v}\r\nabc", f"\r\n\r\n{v}", v, f"\r\n{v}", "x" * 65_536 + f"{v}\r\n\r\nabc", "x" * 65_534 + f"\r\n\r\n{v}\r\nabc", "x" * 65_524 + f"\r\n\r\n{v}\r\nabc", f"{v} in {v}{v}"]
+    rows = [(i, f"http://{i}/", t) for i, t in enumerate(texts)]
+    out = warc.op1_warc_chunks(spark, small(pages=(rows, PAGES))).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == expected(rows)
