@@ -273,6 +273,11 @@ class Encoder:
         return out
 
 
+def lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids array<int>) for docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -281,8 +286,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         e = Encoder(sent.value)
         for b in (s for batch in batches for s in text_steps(batch)):
             got = e.encode([t or "" for t in b.column("text").to_pylist()])
-            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got).astype(np.int32)))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists(got)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -301,7 +305,10 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256 of the ids as little-endian int32, round_trip: whether they decode to the text)."""
+    """(doc_id, n_tokens, ids array<int>, ids_sha256 of the ids as little-endian int32, round_trip: whether they decode to the text).
+
+    One step does what encode() and decode() do, since a join of theirs would mix up rows that share an id.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,9 +317,9 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [t or "" for t in b.column("text").to_pylist()]
             got = e.encode(texts)
             same = [a == t.replace(SPACE, " ") for a, t in zip(e.decode(got), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in got], pa.int64()), lists(got), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array(same)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean")
 
 
 def op4_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

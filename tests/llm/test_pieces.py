@@ -71,3 +71,10 @@ def test_query(spark, small):
     back = P.decode(P.encode(spark.read.parquet(f"{where}/documents.parquet").where("doc_id < 100"))).collect()
     assert {(r.doc_id, r.text) for r in back} == {(i, t.replace("▁", " ")) for i, t, *_ in rows if i is not None and i < 100}
     assert P.op4_suffix_pieces(spark, small(documents=([], DOCUMENTS))).count() == 0
+
+
+def test_query_returns_the_ids(spark, small):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*ODD, None])] + [(1, "another text", "en", "s", 0)]
+    out = P.op4_suffix_pieces(spark, small(documents=(rows, DOCUMENTS))).collect()
+    assert sorted((r.doc_id, r.ids) for r in out) == sorted((i, LIB.encode(t or "")) for i, t, *_ in rows)
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() for r in out)
