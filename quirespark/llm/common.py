@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, a single machine), a temporary one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, on a single machine, a temporary one of our own, and on a cluster an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quirespark-")
         sc.setCheckpointDir(where)
     return (where or sc.getCheckpointDir()).rstrip("/")
@@ -76,9 +79,27 @@ def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYT
         yield batch.slice(s.start, s.stop - s.start)
 
 
-def hash_sample(df: DataFrame, key: str, strata: str, rows: dict, seed: str = "sample") -> DataFrame:
-    """Of the rows of each stratum in rows {stratum: (rows there are, rows wanted)}, those whose hashed key falls in the wanted share."""
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """docs without the rows whose text is judged False. judge() is called once a task; what it gives takes texts (null: '') and says which stay.
+
+    The rows themselves pass through the step, so each is judged by its own text, whatever its id or other columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for b in (s for batch in batches for s in text_steps(batch)):
+            yield b.filter(pa.array(keeps([t or "" for t in b.column("text").to_pylist()])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def hash_sample(df: DataFrame, keys: tuple[str, ...], strata: str, rows: dict, seed: str, most: int) -> DataFrame:
+    """Of the rows of each stratum in rows {stratum: (rows there are, rows wanted)}, those whose hashed keys fall in the wanted share.
+
+    Where repeated rows would make these more than `most`, the ones that come first by their hashes stay.
+    """
     share = F.lit(0.0)
     for value, (n, want) in rows.items():
         share = F.when(F.col(strata) == F.lit(value), F.lit(min(1.0, want / max(1, n)))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share * float(1 << 30))
+    mixed = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30))
+    return df.where(mixed < share * float(1 << 30)).orderBy(mixed, *keys).limit(most)

@@ -3,23 +3,35 @@
 Subwords are the runs of 1 to 3 letters of the lower-cased text, with the edges of words
 as a letter of their own, hashed to BUCKETS embeddings. The mean of a text's embeddings
 goes through a linear softmax; both are trained by stochastic gradient descent in numpy
-on a bounded sample (SAMPLE rows in all, dealt evenly over at most LANGUAGES languages,
-texts of at most SAMPLE_BYTES bytes). A fifth of the sample is kept from training: on it
-the temperature of the softmax is fitted, so that scores are the share of predictions
-that are right, and then the score below which a prediction is rejected: CERTAIN, or
-less if more than REJECT of the rightly predicted rows there would be.
+on a bounded sample (SAMPLE rows in all or EACH of every language, whichever is more,
+dealt evenly over the languages, texts of at most SAMPLE_BYTES bytes). A fifth of the
+sample is kept from training, and everything about certainty is fitted on it:
 
-Prediction reads every text whole, in tasks that hold the model (a fixed size: embeddings
-and softmax multiplied out) and about STEP_BYTES of text at a time.
+- the temperature, and the power of the number of subwords by which a longer text is surer,
+  on whole texts and on pieces of them of a few words and letters;
+- familiarity: the mean log frequency of a text's subwords in the language that has each
+  most often, as a number of standard deviations below what is usual at its length. Its
+  limit lies midway between the held-back texts and the same texts as they look to a model
+  that never saw their language (each language left out in turn).
+
+The score is the probability of the language times that of a familiar text. A prediction is
+rejected if its score is below CERTAIN, so foreign languages, noise and code go, not
+only texts without letters.
+
+Prediction reads every text whole, in tasks that hold the model (a fixed size for up to DIM
+languages, and one row of DIM numbers for each further one) and about STEP_BYTES of text at
+a time.
 
 Defined cases: texts that are null or hold no letter are `und` with score 0 and rejected;
-if nothing can be learned (no labelled text) every text is `und`; equal scores go to the
-language that sorts first; repeated rows are rows of their own; null ids are hashed as
-the null string, which is not held out; other columns are not read.
+if nothing can be learned (no labelled text) every text is `und`; if there is one language, the
+limit of familiarity is ALONE standard deviations below the held-back texts; equal scores
+go to the language that sorts first; repeated rows are rows of their own; null ids are hashed
+as the null string, which is not held out; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -29,18 +41,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_bucket, steps, table, text_steps, without
+from .common import hash_sample, id_bucket, keep_rows, steps, table, text_steps
 
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (1, 2, 3)
-SAMPLE = 4_000
+SAMPLE, EACH = 4_000, 20
 SAMPLE_BYTES = 20_000
-LANGUAGES = 200
 EPOCHS = 6
 RATE = 0.5
-REJECT = 0.001
 CERTAIN = 0.5
+#: Pieces of texts on which the temperature is fitted: so many words, and so many letters of a word.
+PIECES, LETTERS = (1, 2, 4, 8, 16), (1, 2, 4)
+#: Weight of a subword that no text of a language has, a whole text being 1.
+RARE = 1e-3
+TEMPERATURES = np.geomspace(1e-3, 1e3, 121)
+POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Shares of held-back texts and of texts of left-out languages beyond which the limit of familiarity lies.
+KNOWN, FOREIGN, ALONE = 0.002, 0.99, 6.0
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
 
@@ -76,29 +94,45 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class Model:
     languages: list[str]
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
+    #: By bucket: what a subword adds to the logits, or its embedding if `head` makes logits of the mean; last, its log frequency.
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 1), np.float32))
+    head: np.ndarray | None = None
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
-    least: float = 0.0
+    power: float = 0.0
+    #: By language.
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Variance of the familiarity between texts, and of a single subword's.
+    spread: tuple[float, float] = (1.0, 1.0)
+    limit: float = -math.inf
+    slope: float = 1.0
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits, and the number of subwords (0: no letter)."""
-        n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The means of `rows` over the subwords of each text, and the number of subwords (0: no letter)."""
+        n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), self.rows.shape[1]))
         for b, k in subwords(texts):
             some = np.nonzero(k)[0]
             if some.size:
                 out[some] += np.add.reduceat(self.rows[b], np.cumsum(k[some]) - k[some], axis=0)
             n += k
-        return out / np.maximum(n, 1)[:, None] + self.bias, n
+        return out / np.maximum(n, 1)[:, None], n
+
+    def logits(self, mean: np.ndarray) -> np.ndarray:
+        return (mean[:, :-1] if self.head is None else mean[:, :-1] @ self.head.T) + self.bias
+
+    def familiarity(self, mean: np.ndarray, n: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Standard deviations from what is usual for the language of each text."""
+        return (mean[:, -1] - self.usual[language]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(n, 1))
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: unknown) and its probability."""
+        """Index of the language (-1: unknown) and the score."""
         if not self.languages:
             return np.full(len(texts), -1), np.zeros(len(texts))
-        z, n = self.logits(texts)
-        p = softmax(z / self.temperature)
+        mean, n = self.means(texts)
+        p = softmax(self.logits(mean) * (np.maximum(n, 1) ** self.power / self.temperature)[:, None])
         best = p.argmax(1)
-        return np.where(n > 0, best, -1), np.where(n > 0, p[np.arange(len(p)), best], 0.0)
+        known = 1 / (1 + np.exp(-np.clip(self.slope * (self.familiarity(mean, n, best) - self.limit), -30, 30)))
+        return np.where(n > 0, best, -1), np.where(n > 0, p[np.arange(len(p)), best] * known, 0.0)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -106,6 +140,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def frequencies(feats: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, languages: int) -> np.ndarray:
+    """(BUCKETS, languages): log frequencies of subwords by language, of texts (buckets, shares of the text's subwords, their number)."""
+    total = np.full((BUCKETS, languages), RARE)
+    for (b, c, _), k in zip(feats, y, strict=True):
+        total[b, k] += c
+    return np.log(total / total.sum(0))
+
+
 def train(sample: list[tuple[str, str]]) -> Model:
     """A model of a sample of (text, language)."""
     sample = [(t, y) for t, y in sample if any(map(str.isalpha, t))]
@@ -117,11 +159,23 @@ def train(sample: list[tuple[str, str]]) -> Model:
     feats = []
     for t, _ in sample:
         b, c = np.unique(np.concatenate([b for b, _ in subwords([t])]), return_counts=True)
-        feats.append((b, (c / c.sum()).astype(np.float32)))
+        feats.append((b, (c / c.sum()).astype(np.float32), int(c.sum())))
     order = rng.permutation(len(sample))
     fit, check = (order[len(order) // 5 :], order[: len(order) // 5]) if len(order) >= 50 else (order, order)
+    emb, w, bias = descend(feats, y, fit, len(model.languages), rng)
+    log = frequencies([feats[i] for i in fit], y[fit], len(model.languages))
+    body = emb @ w.T if len(model.languages) <= DIM else emb
+    model.head = None if len(model.languages) <= DIM else w
+    model.rows, model.bias = np.c_[body, log.max(1)].astype(np.float32), bias.astype(float)
+    certainty(model, [sample[i][0] for i in check], y[check], rng)
+    left_out(model, [feats[i] for i in check], y[check], log)
+    return model
+
+
+def descend(feats: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, fit: np.ndarray, languages: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, weights and bias after EPOCHS of stochastic gradient descent on the texts `fit`."""
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    w, bias = np.zeros((len(model.languages), DIM), np.float32), np.zeros(len(model.languages), np.float32)
+    w, bias = np.zeros((languages, DIM), np.float32), np.zeros(languages, np.float32)
     batch, total, seen = 16, EPOCHS * max(len(fit), 4000), 0
     while seen < total:
         for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
@@ -137,26 +191,66 @@ def train(sample: list[tuple[str, str]]) -> Model:
             w -= rate * (g.T @ h)
             bias -= rate * 0.1 * g.mean(0)
             np.add.at(emb, b, -rate * c * np.repeat(back, n, axis=0) * 8)
-    model.rows, model.bias = emb @ w.T, bias.astype(float)
-    texts = [sample[i][0] for i in check]
-    z = np.concatenate([model.logits(texts[s])[0] for s in steps([len(t) for t in texts])])
-    temperatures = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in temperatures]
-    model.temperature = float(temperatures[int(np.argmin(loss))])
-    p = softmax(z / model.temperature)
-    right = p.argmax(1) == y[check]
-    model.least = min(CERTAIN, float(np.quantile(p.max(1)[right], REJECT, method="lower"))) if right.any() else 0.0
-    return model
+    return emb, w, bias
+
+
+def certainty(model: Model, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
+    """Fits temperature and power on texts and on pieces of them."""
+    own, of = list(texts), list(y)
+    for t, k in zip(texts, y, strict=True):
+        words = t.split()
+        cuts = [words[int(rng.integers(len(words)))][:n] for n in LETTERS]
+        for n in PIECES:
+            at = int(rng.integers(max(1, len(words) - n + 1)))
+            cuts.append(" ".join(words[at : at + n]))
+        for piece in cuts:
+            if any(map(str.isalpha, piece)):
+                own.append(piece)
+                of.append(k)
+    parts = [model.means(own[s]) for s in steps([len(t) for t in own])]
+    z, n, of = model.logits(np.concatenate([m for m, _ in parts])), np.concatenate([k for _, k in parts]), np.array(of)
+    loss = {}
+    for power in POWERS:
+        scaled = z * (n**power)[:, None]
+        for t in TEMPERATURES:
+            loss[power, t] = -np.log(softmax(scaled / t)[np.arange(len(of)), of] + 1e-12).mean()
+    model.power, model.temperature = map(float, min(loss, key=loss.get))
+
+
+def left_out(model: Model, feats: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, log: np.ndarray) -> None:
+    """Fits what is usual, and the limit between held-back texts and those of a language left out."""
+    best = log.max(1)
+    mean = np.array([c @ best[b] for b, c, _ in feats])
+    inner = np.array([c @ best[b] ** 2 for b, c, _ in feats]) - mean**2
+    n = np.array([k for *_, k in feats])
+    model.usual = np.array([np.median(mean[y == k]) if (y == k).any() else np.median(mean) for k in range(log.shape[1])])
+    single = float(inner.mean()) + 1e-6
+    between = float(np.mean(np.maximum(0, (mean - model.usual[y]) ** 2 - single / n)))
+    model.spread = (between + 1e-4, single)
+    scale = np.sqrt(model.spread[0] + model.spread[1] / n)
+    known = float(np.quantile((mean - model.usual[y]) / scale, KNOWN))
+    foreign = []
+    for k in range(log.shape[1]) if log.shape[1] > 1 else ():
+        rest = np.delete(log, k, axis=1)
+        for i in np.nonzero(y == k)[0]:
+            b, c, _ = feats[i]
+            by = c @ rest[b]  # what the text looks like to the other languages
+            usual = np.delete(model.usual, k)[int(by.argmax())]
+            foreign.append((float(c @ rest[b].max(1)) - usual) / scale[i])
+    other = float(np.quantile(foreign, FOREIGN)) if foreign else known - 2 * ALONE
+    model.limit = (known + min(other, known)) / 2
+    model.slope = math.log(999) / max(known - model.limit, 1.0)
 
 
 def learn(docs: DataFrame) -> Model:
     """A model of docs (doc_id, text, lang), by the labelled rows that are not held out."""
     own = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_bucket("doc_id", FOLDS).isNull() | (id_bucket("doc_id", FOLDS) != HELD_OUT)))
     own = own.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang", "text")
-    there = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    there = own.groupBy("lang").count().collect()  # a row for each language
     if not there:
         return Model([])
-    rows = hash_sample(own, "doc_id", "lang", {r.lang: (r["count"], SAMPLE / len(there)) for r in there}, "langid").limit(2 * SAMPLE).collect()
+    each = max(SAMPLE / len(there), EACH)
+    rows = hash_sample(own, ("doc_id", "text"), "lang", {r.lang: (r["count"], each) for r in there}, "langid", most=int(2 * each * len(there))).collect()
     return train(sorted((r.text, r.lang) for r in rows))
 
 
@@ -169,14 +263,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*m.languages, UNKNOWN], object)
         for b in (s for batch in batches for s in text_steps(batch)):
             best, p = m.predict([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(p), pa.array((best < 0) | (p < m.least))], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(p), pa.array((best < 0) | (p < CERTAIN))], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """docs without those whose language is unknown or uncertain; rows without id are kept."""
-    return without(docs, identify(docs, learn(docs)).where("rejected"))
+    """docs without the rows whose language is unknown or uncertain."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    return keep_rows(docs, lambda: lambda texts: sent.value.predict(texts)[1] >= CERTAIN)
 
 
 def op5_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:

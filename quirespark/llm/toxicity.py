@@ -256,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     there = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
     if len(there) < 2:
         return Model(bias=math.inf if there.get(1) else -math.inf)
-    picked = hash_sample(own, "doc_id", "toxic", {k: (n, SAMPLE) for k, n in there.items()}, "toxicity").limit(3 * SAMPLE)
+    picked = hash_sample(own, ("doc_id",), "toxic", {k: (n, SAMPLE) for k, n in there.items()}, "toxicity", most=3 * SAMPLE)
     sample = cut(docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quirespark.llm import langid
@@ -27,7 +28,7 @@ def test_prediction_ignores_everything_but_text(spark):
     rows = [(i, t) for i, t in enumerate(["the hat", "die katze", None, "", "12 !?", "é" * 400_000, "the hat"])]
     out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [out[i].lang_pred for i in range(5)] == ["en", "de", "und", "und", "und"]
-    assert all(out[i].score == 0 and out[i].rejected for i in (2, 3, 4))
+    assert all(out[i].score == 0 and out[i].rejected for i in (2, 3, 4)) and not out[0].rejected
     assert out[5].lang_pred in ("en", "de") and out[0].score == out[6].score
 
 
@@ -41,6 +42,54 @@ def subwords(text):
     return n
 
 
+CODE = "for (int i = 0; i < n; i++) { buf[i] = malloc(sizeof(struct node)); if (!buf[i]) return -ENOMEM; }"
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+
+
+@pytest.mark.parametrize("leave", [None, "en", "de", "fr", "es"])
+def test_unseen_languages_and_noise_are_rejected(leave):
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2][:800]
+    seen = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and len(r["text"]) < 20_000 and r["lang"] != leave]
+    model = langid.train([(r["text"], r["lang"]) for r in random.Random(1).sample(seen, min(4000, len(seen)))])
+    assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1]
+    known = [r for r in held if r["lang"] != leave]
+    best, score = model.predict([r["text"] for r in known])
+    assert np.mean(score < langid.CERTAIN) < 0.02 and np.mean([model.languages[i] == r["lang"] for i, r in zip(best, known, strict=True)]) > 0.99
+    rng = random.Random(2)
+    noise = ["".join(rng.choice("qwxzkvjpy bcdfgh 0123") for _ in range(120)) for _ in range(20)]
+    assert (model.predict([CODE, POLISH, "すべての人間は、生まれながらにして自由である。", *noise])[1] < langid.CERTAIN).mean() > 0.95
+    if leave:
+        assert np.mean(model.predict([r["text"] for r in held if r["lang"] == leave])[1] < langid.CERTAIN) >= 0.9
+
+
+def test_scores_equal_brute_force():
+    model = langid.train([("the cat and the hat", "en"), ("der hund und die katze", "de"), ("le chat et la mer", "fr")] * 30)
+    texts = ["the hat", "die katze und la mer", "Zzz 12 q", "é" * 50]
+    best, score = model.predict(texts)
+    for t, k, s in zip(texts, best, score, strict=True):
+        rows = np.concatenate([model.rows[b] for b, _ in langid.subwords([t])]).astype(float)
+        z = (rows[:, :-1].mean(0) + model.bias) * len(rows) ** model.power / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        far = (rows[:, -1].mean() - model.usual[k]) / np.sqrt(model.spread[0] + model.spread[1] / len(rows))
+        assert k == p.argmax() and abs(s - p[k] / (1 + np.exp(-model.slope * (far - model.limit)))) < 1e-5
+
+
+def test_more_languages_than_dimensions():
+    rng = random.Random(3)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for k in range(langid.DIM + 9)}
+    model = langid.train([(" ".join(rng.choices(w, k=12)), name) for name, w in words.items() for _ in range(60)])
+    tried = [(" ".join(rng.choices(w, k=12)), name) for name, w in words.items() for _ in range(4)]
+    best, _ = model.predict([t for t, _ in tried])
+    assert model.head is not None and np.mean([model.languages[i] == y for i, (_, y) in zip(best, tried, strict=True)]) > 0.9
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "the cat and the hat on the mat", "en"), (1, "...", "en"), (None, "42", "en"), (None, "the hat and the cat", "en")] + [(i, "the cat and the hat and a mat", "en") for i in range(2, 60)]
+    kept = langid.drop_rejected(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id in (1, None)) == [(0, "the hat and the cat"), (1, "the cat and the hat on the mat")]
+
+
 @pytest.mark.parametrize("text", ["", "a", "ab c", "Straße, İstanbul 42", "  x  ", "é-è"])
 def test_subwords(text):
     together = [sum(k[i] for _, k in langid.subwords([text, "zz", text])) for i in range(3)]
