@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a join side may have before it is dealt by key instead of broadcast; rows here are under 100 bytes.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes as text, that a join side may have before it is dealt by key instead of broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: UTF-8 bytes of text that one Python step holds at a time, besides the longest single text.
 STEP_BYTES = 4_000_000
 
@@ -44,10 +44,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows; else as it is, to be shuffled."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most so many rows and bytes of text; else as it is, to be shuffled."""
+    few = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(df) if few.rows <= rows and (few.size or 0) <= size else df
 
 
 def without(df: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,19 +1,26 @@
 """Operator 9: licences by sparse TF-IDF cosine to templates, inherited from the nearest ancestor directory.
 
-Every line of a text (a header's notice) and the text as a whole (a licence file) is a
-sparse TF-IDF vector, compared with those of the templates; a file's own licence is that
-of the most similar template, at a cosine of at least THRESHOLD. Document frequencies of
-the templates' words are counted over all documents; a word that no template has weighs
-as one that a single document has, each time it occurs.
-
-Lines whose words from templates carry too little of their length for any template are
-dropped before the product; by the Cauchy-Schwarz inequality none of them could reach
-the threshold.
+The parts of a text that may state a licence are its lines, its blocks (lines that follow each
+other, all comments or none, without an empty one between), the comment that it begins with, its
+first OPENING words, and the whole. Each part is a sparse vector of its words and word pairs,
+compared with those of the templates: notices, and short licences or the openings of long
+ones. A word weighs its inverse document frequency, a pair PAIR times that of its rarer word, and
+both weigh less the more licences share them, so the words that tell versions and
+variants apart decide between them. A part states the licence of its most similar template if the
+cosine is THRESHOLD or more and exceeds that of any other licence by MARGIN; a file's own licence
+is that of its most similar part.
+
+Document frequencies of the templates' words are counted over all documents by built-in
+functions; a word or pair that no template has weighs as a word that a single document has, each
+time it occurs. Parts whose words from templates carry too little of their length for any
+template are dropped before the product; by the Cauchy-Schwarz inequality none of them
+could reach the threshold.
 
 A licence file (its name begins with LICENSE, LICENCE or COPYING) gives its own licence
-to its directory. Distinct directories are joined with all their ancestors, the deepest
+to its directory. Distinct directories are joined with their ancestors below the root, the deepest
 with a licence is kept, and files meet the result by directory: a hot directory is one row
-on the side that is aggregated. A file's own licence goes before an inherited one.
+on the side that is aggregated, and the root, which is above all, is joined to none. A file's
+own licence goes before an inherited one.
 
 Defined cases: null and empty texts have no licence of their own and inherit; a null path is
 a file in the root directory; of licence files in one directory the most similar decides,
@@ -23,6 +30,7 @@ their own; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,116 +42,203 @@ from .common import bounded, cut, table, text_steps
 from .decontaminate import words
 
 THRESHOLD = 0.6
-
-#: Notices by which files state the licences named.
+MARGIN = 0.03
+PAIR = 0.7
+#: Words of the beginning that are compared as a part of their own.
+OPENING = (60, 120)
+#: The least share of its weight that a word keeps, however many licences share it.
+SHARED = 0.3
+
+_COMMENT = re.compile(rb"\s*(#|//|/\*|\*|--|;|%|<!--|\.\.|rem\b|dnl\b)", re.IGNORECASE)
+
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_END = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+#: Notices by which files state the licences named, short licences, and the openings of long ones.
 TEMPLATES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. Licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAME} {_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License {_BSD} {_BSD_NAME}"),
+    ("BSD-3-Clause", _BSD_NAME),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License."),
+    ("CC0-1.0", "CC0 1.0 Universal Statement of Purpose The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) of an original work of authorship and/or a database"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF} Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF} This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MIT", _MIT),
+    ("MIT", f"MIT License {_MIT} {_MIT_END}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+    ("PSF-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2 1. This LICENSE AGREEMENT is between the Python Software Foundation (PSF), and the Individual or Organization (Licensee) accessing and otherwise using this software (Python) in source or binary form and its associated documentation. 2. Subject to the terms and conditions of this License Agreement, PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly, prepare derivative works, distribute, and otherwise use Python"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented"),
 )
 
 
-class Vocabulary:
-    """The templates' words by id (from 1), and the templates' counts (words, templates)."""
+def tagged(templates: tuple) -> tuple:
+    """The templates, and for each licence the lines that name it by its identifier."""
+    names = sorted({n for n, _ in templates})
+    lines = [(n, f"SPDX-License-Identifier: {n}{x}") for n in names for x in (("", "-only", "-or-later") if "GPL" in n else ("",))]
+    short = [(n, f"Licensed under {n.replace('-', ' ', 1) if n.startswith('CC-') else n.replace('-', ' ')}.".replace("CC BY-4.0", "CC BY 4.0")) for n in names]
+    creative = [(n, f"Licensed under CC {n[3:-4]} {n[-3:]}.") for n in names if n.startswith("CC-")]
+    return (*templates, *lines, *(x for x in short if not x[0].startswith("CC-")), *creative)
+
 
-    def __init__(self, templates=TEMPLATES):
-        self.names = [n for n, _ in templates]
-        self.ids: dict[bytes, int] = {}
-        rows = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(t.encode())] for _, t in templates]
-        self.counts = np.zeros((len(self.ids) + 1, len(rows)), np.float32)
-        for k, row in enumerate(rows):
-            np.add.at(self.counts[:, k], row, 1)
+ALL = tagged(TEMPLATES)
 
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        w = words(text)
-        return np.array([self.ids.get(x, 0) for x in w], np.int64) if w else np.zeros(0, np.int64)
+
+class Vocabulary:
+    """The templates' words and pairs of words by id, and the templates' counts (words and pairs, templates)."""
+
+    def __init__(self, templates=ALL):
+        self.names = np.array([n for n, _ in templates])
+        self.ids: dict[bytes, int] = {}  # words, from 1
+        rows = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(t.encode())]) for _, t in templates]
+        self.n = len(self.ids) + 1
+        self.pairs = np.unique(np.concatenate([r[:-1] * self.n + r[1:] for r in rows]))  # their ids go on from n
+        self.counts = np.zeros((self.n + len(self.pairs), len(rows)), np.float32)
+        for k, r in enumerate(rows):
+            np.add.at(self.counts[:, k], np.r_[r, self.n + np.searchsorted(self.pairs, r[:-1] * self.n + r[1:])], 1)
+        names = sorted(set(self.names))
+        having = np.stack([(self.counts[:, self.names == n] > 0).any(1) for n in names], 1).sum(1)
+        self.telling = SHARED + (1 - SHARED) * np.log((1 + len(names)) / (1 + np.maximum(having, 1))) / np.log((1 + len(names)) / 2)
+
+    def tokens(self, text: bytes | None) -> list[int]:
+        get = self.ids.get
+        return [get(x, 0) for x in words(text)]
 
 
 def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Number of documents, and for each word of the templates the number that have it."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        total = np.zeros(len(v.ids) + 1, np.int64)
-        for b in batches:
-            total[0] += b.num_rows
-            for s in text_steps(b, "t"):
-                for t in s.column("t").to_pylist():
-                    total[[v.ids[w] for w in v.ids.keys() & set(words(t))]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
-
-    rows = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the templates
-    out = np.zeros(len(vocabulary.ids) + 1, np.int64)
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = F.array_intersect(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.array(*(F.lit(w.decode()) for w in vocabulary.ids)))
+    rows = docs.select(F.explode(own).alias("w")).groupBy("w").count().collect()  # a row for each word of the templates
+    out = np.zeros(vocabulary.n, np.int64)
     for r in rows:
-        out[r.word] = r.n
-    return int(out[0]), out
+        out[vocabulary.ids[r.w.encode()]] = r["count"]
+    return docs.count(), out
 
 
-def weights(n: int, df: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies by word id; at 0 that of any other word."""
+def weights(v: Vocabulary, n: int, df: np.ndarray) -> np.ndarray:
+    """Weights by id of words, then of pairs; at 0 that of any other."""
     idf = np.log((1 + n) / (1 + df)) + 1
     idf[0] = np.log((1 + n) / 2) + 1
-    return idf
+    out = np.r_[idf, PAIR * np.maximum(idf[v.pairs // v.n], idf[v.pairs % v.n])] * v.telling
+    out[0] = idf[0]
+    return out
 
 
-def cosines(v: Vocabulary, idf: np.ndarray, runs: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For every run of word ids the most similar template (-1: none reaches the threshold) and the cosine."""
+def cosines(v: Vocabulary, weight: np.ndarray, runs: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For every run of word ids the template that it states (-1: none) and the cosine."""
     size = np.array([len(r) for r in runs], np.int64)
     flat = np.concatenate([*runs, np.zeros(0, np.int64)])
     run = np.repeat(np.arange(len(runs)), size)
+    inner = np.nonzero(run[1:] == run[:-1])[0]
+    code = flat[inner] * v.n + flat[inner + 1]
+    at = np.minimum(np.searchsorted(v.pairs, code), len(v.pairs) - 1)
+    pair = np.where((v.pairs[at] == code) & (flat[inner] > 0), v.n + at, 0)
+    other = np.bincount(run[flat == 0], minlength=len(runs)) * weight[0] ** 2 + np.bincount(run[inner][pair == 0], minlength=len(runs)) * (PAIR * weight[0]) ** 2
+    flat, run = np.r_[flat, pair], np.r_[run, run[inner]]
     own = flat > 0
-    key, tf = np.unique(run[own] * (len(v.ids) + 1) + flat[own], return_counts=True)
-    of, word = key // (len(v.ids) + 1), key % (len(v.ids) + 1)
-    w = tf * idf[word]
+    key, tf = np.unique(run[own] * len(weight) + flat[own], return_counts=True)
+    of, word = key // len(weight), key % len(weight)
+    w = tf * weight[word]
     inside = np.bincount(of, weights=w**2, minlength=len(runs))
-    length = inside + np.bincount(run[~own], minlength=len(runs)) * idf[0] ** 2
-    hopeful = inside >= threshold**2 * length
-    hopeful &= inside > 0
+    length = inside + other
+    hopeful = (inside >= threshold**2 * length) & (inside > 0)
     best, score = np.full(len(runs), -1), np.zeros(len(runs))
     keep = hopeful[of]
     of, word, w = of[keep], word[keep], w[keep]
     if of.size:
-        t = v.counts * idf[:, None]
+        t = v.counts * weight[:, None]
         t /= np.linalg.norm(t, axis=0)
         starts = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0]
         cos = np.add.reduceat(w[:, None] * t[word], starts, axis=0) / np.sqrt(length[of[starts]])[:, None]
         k = cos.argmax(1)
         c = cos[np.arange(len(k)), k]
-        ok = c >= threshold
+        rival = np.where(v.names[None, :] == v.names[k][:, None], 0, cos).max(1)
+        ok = (c >= threshold) & (c - rival >= MARGIN)
         best[of[starts[ok]]], score[of[starts[ok]]] = k[ok], c[ok]
     return best, score
 
 
-def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def parts(v: Vocabulary, text: bytes | None) -> list[np.ndarray]:
+    """The parts of a text as runs of word ids: lines, blocks, the comment that it begins with, openings, and the whole."""
+    lines, marked = [], []
+    for x in (text or b"").split(b"\n"):
+        lines.append(v.tokens(x))
+        marked.append(_COMMENT.match(x) is not None)
+    out = [x for x in lines if x]
+    block: list[int] = []
+    length = 0
+    for k, x in enumerate(lines):
+        if block and (not x or marked[k] != marked[k - 1]):
+            if length > 1:
+                out.append(block)
+            block, length = [], 0
+        block.extend(x)
+        length += bool(x)
+    if length > 1:
+        out.append(block)
+    code = next((k for k, x in enumerate(lines) if x and not marked[k]), len(lines))
+    out.append([w for x in lines[:code] for w in x])
+    whole = [w for x in lines for w in x]
+    out += [whole[:n] for n in OPENING if n < len(whole)]
+    out.append(whole)
+    return [np.array(x, np.int64) for x in out if x]
+
+
+def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=ALL) -> DataFrame:
     """files (doc_id, path, text) as (doc_id, path, own_license, own_score)."""
     v = Vocabulary(templates)
-    sent = files.sparkSession.sparkContext.broadcast((v, weights(*frequencies(files, v))))
+    sent = files.sparkSession.sparkContext.broadcast((v, weights(v, *frequencies(files, v))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, idf = sent.value
+        v, weight = sent.value
         for b in (s for batch in batches for s in text_steps(batch, "t")):
-            lines = [[v.tokens(x) for x in (t or b"").split(b"\n")] for t in b.column("t").to_pylist()]
-            count = np.array([len(x) for x in lines], np.int64)
-            best, score = cosines(v, idf, [x for y in lines for x in y], threshold)
-            whole = cosines(v, idf, [np.concatenate(y) for y in lines], threshold)
-            first, names, scores = np.cumsum(count) - count, [], []
-            for i, (f, n) in enumerate(zip(first, count, strict=True)):
-                k = f + int(score[f : f + n].argmax())
-                c, t = max((float(score[k]), -int(best[k])), (float(whole[1][i]), -int(whole[0][i])))
-                names.append(v.names[-t] if t <= 0 and c > 0 else None)
+            runs = [parts(v, t) for t in b.column("t").to_pylist()]
+            edge = np.r_[0, np.cumsum([len(x) for x in runs])]
+            best, score = cosines(v, weight, [x for y in runs for x in y], threshold)
+            names, scores = [], []
+            for start, stop in zip(edge, edge[1:], strict=False):
+                c, t = max(((float(score[k]), -int(best[k])) for k in np.nonzero(best[start:stop] >= 0)[0] + start), default=(0.0, None))
+                names.append(None if t is None else str(v.names[-t]))
                 scores.append(min(1.0, c))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "path", "own_license", "own_score"])
 
@@ -156,11 +251,13 @@ def inherit(files: DataFrame) -> DataFrame:
     placed = files.withColumn("_dir", F.regexp_extract(path, "^(.*)/[^/]*$", 1)).withColumn("_name", F.upper(F.element_at(F.split(path, "/"), -1)))
     giving = placed.where(F.col("own_license").isNotNull() & F.col("_name").rlike("^(LICENSE|LICENCE|COPYING)"))
     given = giving.groupBy(F.col("_dir").alias("from_dir")).agg(F.max_by(F.struct("own_license", "doc_id"), F.struct("own_score", -F.col("doc_id"))).alias("g"))
-    dirs = placed.select("_dir").distinct()
-    parts = F.split("_dir", "/")
-    above = F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("_dir") == "", 0).otherwise(F.size(parts))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir"))))
+    dirs = placed.where("_dir <> ''").select("_dir").distinct()
+    names = F.split("_dir", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(names, F.lit(1), n), "/").alias("dir"))))
     nearest = dirs.select("_dir", above.alias("_a")).join(given, F.col("_a.dir") == F.col("from_dir")).groupBy("_dir").agg(F.max_by(F.struct("from_dir", "g"), F.col("_a.depth")).alias("_n"))
-    met = placed.join(bounded(cut(nearest)), "_dir", "left")
+    top = given.where("from_dir = ''").first()  # at most one row
+    root = F.lit(None).cast(nearest.schema["_n"].dataType) if top is None else F.struct(F.lit("").alias("from_dir"), F.struct(F.lit(top.g.own_license).alias("own_license"), F.lit(top.g.doc_id).alias("doc_id")).alias("g"))
+    met = placed.join(bounded(cut(nearest)), "_dir", "left").withColumn("_n", F.coalesce("_n", root))
     own = F.col("own_license").isNotNull()
     return met.select(
         "doc_id",
@@ -174,7 +271,7 @@ def inherit(files: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, threshold: float = THRESHOLD, templates=ALL) -> DataFrame:
     """The licence of every row of files (doc_id, path, text), its own or inherited."""
     return inherit(cut(own_licenses(files, threshold, templates)))
 

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from quirespark.llm import licenses as L
@@ -19,40 +20,125 @@ TEXTS = [
 ]
 
 
+def split(text):
+    return re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+def features(ws, known):
+    """Counts of words and pairs, those that no template has as None."""
+    pairs = list(zip(ws, ws[1:], strict=False))
+    c = Counter(x for x in [*ws, *pairs] if x in known)
+    return c, sum(w not in known for w in ws), sum(p not in known for p in pairs)
+
+
+def plain_parts(text):
+    lines = [(split(x), re.match(r"(?i)\s*(#|//|/\*|\*|--|;|%|<!--|\.\.|rem\b|dnl\b)", x) is not None) for x in (text or "").split("\n")]
+    blocks, last = [], None
+    for ws, comment in lines:
+        if ws and last == comment and blocks:
+            blocks[-1].append(ws)
+        elif ws:
+            blocks.append([ws])
+        last = comment if ws else None
+    code = next((k for k, (ws, comment) in enumerate(lines) if ws and not comment), len(lines))
+    whole = [w for ws, _ in lines for w in ws]
+    return [*(ws for ws, _ in lines), *(sum(b, []) for b in blocks), sum((ws for ws, _ in lines[:code]), []), *(whole[:n] for n in L.OPENING), whole]
+
+
 def plain(texts, threshold=L.THRESHOLD):
-    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
-    vocabulary = {w for _, t in L.TEMPLATES for w in split(t)}
-    df = Counter(w for t in texts for w in set(split(t)) & vocabulary)
-    rare = math.log((1 + len(texts)) / 2) + 1
-    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) + 1 for w in vocabulary}
+    templates = [(n, split(t)) for n, t in L.ALL]
+    known = {x for _, ws in templates for x in [*ws, *zip(ws, ws[1:], strict=False)]}
+    sharing = {x: len({n for n, ws in templates if x in {*ws, *zip(ws, ws[1:], strict=False)}}) for x in known}
+    df = Counter(w for t in texts for w in set(split(t)) & known)
+    rare, licences = math.log((1 + len(texts)) / 2) + 1, len({n for n, _ in templates})
+    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) + 1 for w in known if isinstance(w, str)}
+    telling = {x: L.SHARED + (1 - L.SHARED) * math.log((1 + licences) / (1 + k)) / math.log((1 + licences) / 2) for x, k in sharing.items()}
+    weight = {x: (idf[x] if isinstance(x, str) else L.PAIR * max(idf[x[0]], idf[x[1]])) * telling[x] for x in known}
     vectors = []
-    for name, t in L.TEMPLATES:
-        c = {w: n * idf[w] for w, n in Counter(split(t)).items()}
+    for name, ws in templates:
+        c = {x: n * weight[x] for x, n in features(ws, known)[0].items()}
         norm = math.sqrt(sum(x * x for x in c.values()))
-        vectors.append((name, {w: x / norm for w, x in c.items()}))
+        vectors.append((name, {x: y / norm for x, y in c.items()}))
     out = []
     for t in texts:
         best = (0.0, None)
-        for part in [*(t or "").split("\n"), t or ""]:
-            c = Counter(split(part))
-            mine = {w: n * idf[w] for w, n in c.items() if w in vocabulary}
-            norm = math.sqrt(sum(x * x for x in mine.values()) + sum(n for w, n in c.items() if w not in vocabulary) * rare**2)
+        for part in plain_parts(t):
+            c, words, pairs = features(part, known)
+            mine = {x: n * weight[x] for x, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in mine.values()) + words * rare**2 + pairs * (L.PAIR * rare) ** 2)
+            by = {}
             for name, v in vectors:
-                cos = sum(x * v.get(w, 0) for w, x in mine.items()) / norm if norm else 0
-                if cos >= threshold and cos > best[0] + 1e-9:
-                    best = (cos, name)
+                by[name] = max(by.get(name, 0), sum(x * v.get(w, 0) for w, x in mine.items()) / norm if norm else 0)
+            (second, _), (cos, name) = sorted((x, n) for n, x in by.items())[-2:]
+            if cos >= threshold and cos - second >= L.MARGIN and cos > best[0] + 1e-9:
+                best = (cos, name)
         out.append(best)
     return out
 
 
 def test_own_licences_equal_brute_force(spark):
-    files = spark.createDataFrame([(i, f"a/{i}.txt", t) for i, t in enumerate(TEXTS)], "doc_id long, path string, text string")
+    texts = [*TEXTS, *(t for _, t in FOUND[:6])]
+    files = spark.createDataFrame([(i, f"a/{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
     got = {r.doc_id: r for r in L.own_licenses(files).collect()}
-    for i, (score, name) in enumerate(plain(TEXTS)):
+    for i, (score, name) in enumerate(plain(texts)):
         assert got[i].own_license == name and abs(got[i].own_score - min(1, score)) < 1e-5
     assert [got[i].own_license for i in (0, 1, 2, 3, 7)] == ["Apache-2.0", "MIT", "Apache-2.0", None, "CC-BY-NC-4.0"]
 
 
+CODE = "\nimport os\n\n\ndef main():\n    return os.getcwd()\n" * 5
+
+
+def wrapped(text, mark="# "):
+    return "\n".join(mark + x for x in textwrap.wrap(text, 70))
+
+
+def fsf(kind, version, what="program", end=";"):
+    return f"This {what} is free software{end} you can redistribute it and/or modify it under the terms of the {kind} as published by the Free Software Foundation{end.replace(':', ',')} either version {version} of the License, or (at your option) any later version."
+
+
+def file(name):
+    return max((t for n, t in L.TEMPLATES if n == name), key=len)
+
+
+HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+GPL, LESSER, AFFERO = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+FOUND = [
+    ("GPL-2.0", wrapped(fsf(GPL, "2")) + "\n#\n" + wrapped(HOPE) + CODE),
+    ("GPL-3.0", wrapped("Copyright (C) 2020 A. Person") + "\n//\n" + wrapped(fsf(GPL, "3", end=":"), "// ") + "\n//\n" + wrapped(HOPE, "// ") + CODE),
+    ("LGPL-2.1", "/*\n" + wrapped(fsf(LESSER, "2.1", "library"), " * ") + "\n */" + CODE),
+    ("LGPL-2.1", wrapped(fsf(LESSER, "2.1", "library"), "")),
+    ("LGPL-3.0", wrapped(fsf(LESSER, "3", "library", ":")) + CODE),
+    ("AGPL-3.0", wrapped(fsf(AFFERO, "3", end=":")) + CODE),
+    ("Apache-2.0", wrapped("Copyright 2020 Someone") + "\n#\n" + wrapped(L._APACHE) + CODE),
+    ("BSD-2-Clause", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + "\n\n".join(wrapped(t, "") for t in (L._BSD, L._BSD_END))),
+    ("BSD-3-Clause", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + "\n\n".join(wrapped(t, "") for t in (L._BSD, L._BSD_NAME, L._BSD_END))),
+    ("ISC", wrapped(file("ISC")) + CODE),
+    ("MIT", wrapped(L._MIT) + CODE),
+    ("MIT", "# SPDX-License-Identifier: MIT" + CODE),
+    ("LGPL-3.0", "// SPDX-License-Identifier: LGPL-3.0-or-later" + CODE),
+    ("PSF-2.0", wrapped(file("PSF-2.0"), "") + "\nmore terms follow here" * 40),
+    ("GPL-2.0", wrapped(file("GPL-2.0"), "") + "\n\n" + "when we speak of free software we mean freedom and not price\n" * 300),
+    ("LGPL-3.0", wrapped(file("LGPL-3.0"), "") + "\n\n" + "an application is any work that makes use of an interface\n" * 100),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    (None, "You may look at this software but not copy it. All rights reserved by the owner of the software."),
+    (None, "See the license for details."),
+    (None, "GNU GENERAL PUBLIC LICENSE"),
+    (None, "This is a novel about free software and the people who wrote it." + CODE),
+]
+
+
+def test_the_right_licence_or_none(spark):
+    prose = [(1000 + i, f"{i}", "the cat of a house is in the tree and by the river for it or to this with that " * 3) for i in range(200)]
+    rows = [(i, f"{i}", t) for i, (_, t) in enumerate(FOUND)] + prose
+    got = {r.doc_id: r.own_license for r in L.own_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(FOUND))] == [n for n, _ in FOUND]
+    assert all(got[i] is None for i, *_ in prose)
+
+
 def test_nearest_ancestor(spark):
     rows = [
         (1, "LICENSE", "MIT", 0.9), (2, "a/COPYING.txt", "GPL-3.0", 0.8), (3, "a/LICENSE", "ISC", 0.8), (4, "a/b/c/x.py", None, 0.0), (5, "b/y.py", None, 0.0),
