@@ -4,17 +4,24 @@ A pair is a chosen and a rejected conversation. Their longest common prefix of t
 rendered once as the prompt, the rest of each as a completion, with a mask that is 1 on
 the assistant's words and the end of its turn (they count for the loss) and 0 elsewhere.
 
-The work is done on turns: both sides meet by (pair, place), the first place that
-differs is a minimum for each pair, computed with partial aggregates, and each turn is
-rendered where it is. The result has a row for each rendered segment, so a conversation
-of any length is never gathered; assemble() gathers those that the caller knows to fit.
-
-Defined cases: turns are in order of `turn`, turns of one number by role and text (null
-before all else), each being a place of its own; null roles and texts are equal to each
-other and render as empty; turns without number or conversation are left out; a side
-without turns ends the prefix at once, and the pair has the other's completion only;
-conversations alike throughout are all prompt; roles that no template knows render like
-others; an empty table has no rows; other columns are not read.
+compared() finds where the two part from digests of turns alone: a sum for each pair, turn and
+digest, then a minimum for each pair, both with partial aggregates, so repeated turns
+never meet in one place. The texts follow: they are joined with their pair's result, those of
+the rejected side's half of the prompt are left out, and equal ones are counted. So texts
+are dealt out twice at most, once for the count and once to be put together.
+
+paired() puts together the turns of a pair in ranges of RANGE turn numbers, each a row of a
+prompt and two completions; an ordinary conversation is one row. A range of more than MOST
+turns (conversations with very many turns of one number) is not gathered: each of its distinct
+turns is a row, and further copies of it are rows of at most MOST. In order of turns, turn,
+place and copy, the rows of a pair make up its whole texts.
+
+Defined cases: turns are in order of `turn`, turns of one number in order of the MD5 of role and
+text, each copy being a turn of its own; null roles and texts are equal to each other and
+render as empty; turns without number or conversation are left out; a pair one side of which
+is null or has no turns is left out; where one conversation begins the other its completion
+is empty, and where they are alike throughout both are; roles that no template knows
+render like others; an empty table has no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +29,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, cut, table
+
+#: Turn numbers that are put together, and turns and copies in a row.
+RANGE, MOST = 256, 1024
+SPANS = "array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -38,107 +48,118 @@ class Template:
     learned: tuple[str, ...] = ("assistant",)
 
 
-def places(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, n, role, text): n numbers the turns of one conversation and number."""
-    own = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
-    return own.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("role"), F.asc_nulls_first("text"))))
+def own_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, digest, role, text)."""
+    mark = F.concat(F.coalesce(F.concat(F.lit("r"), "role"), F.lit("n")), F.lit("\x01"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n")))
+    return turns.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.md5(mark.cast("binary")).alias("digest"), "role", "text")
+
+
+def by_side(pairs: DataFrame) -> DataFrame:
+    """(conv_id, pair_id, side) of pairs (pair_id, chosen_id, rejected_id) with both sides."""
+    side = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id"))))
+    return pairs.where("chosen_id is not null and rejected_id is not null").select("pair_id", side.alias("_s")).select("_s.conv_id", "pair_id", "_s.side")
 
 
-def segments(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
-    """A row for each segment of each of pairs (pair_id, chosen_id, rejected_id).
+def compared(turns: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pair_id, first_turn, first_digest, common) for the pairs of which both sides have turns, and the (pair_id, turns) that are too many to gather.
 
-    part: prompt, chosen or rejected; turn, n: its place; mask 0 or 1; text: what is
-    rendered. A learned turn has two segments, its head (piece 0, mask 0) and its words (piece 1, mask 1).
+    The two part at the turn `first_turn`, `first_digest` (null: nowhere), which they have `common` copies of in common.
     """
-    side = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id"))))
-    sides = pairs.select("pair_id", side.alias("_s")).select("pair_id", "_s.side", "_s.conv_id").where("conv_id is not null")
-    met = places(turns).join(sides, "conv_id")
-    both = met.groupBy("pair_id", "turn", "n").agg(
-        *(F.max(F.when(F.col("side") == s, F.struct(F.lit(1).alias("is"), "role", "text"))).alias(s) for s in ("chosen", "rejected"))
-    )
-    same = F.coalesce(F.col("chosen").eqNullSafe(F.col("rejected")), F.lit(False))
-    where = F.struct("turn", "n")
-    first = both.where(~same).groupBy("pair_id").agg(F.min(where).alias("_first"))
-    placed = both.join(first, "pair_id", "left")
-    prompt = F.col("_first").isNull() | (where < F.col("_first"))
-    part = F.array(
-        F.when(prompt, F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("t"))),
-        *(F.when(~prompt & F.col(s).isNotNull(), F.struct(F.lit(s).alias("part"), F.col(s).alias("t"))) for s in ("chosen", "rejected")),
-    )
-    return placed.select("pair_id", "turn", "n", F.explode(F.array_compact(part)).alias("_p")).select("pair_id", "_p.part", "turn", "n", F.posexplode(pieces(template)).alias("piece", "_x")).select("pair_id", "part", "turn", "n", "piece", "_x.mask", "_x.text")
-
-
-def pieces(t: Template) -> Column:
-    role, text = F.coalesce("_p.t.role", F.lit("")), F.coalesce("_p.t.text", F.lit(""))
-    head = F.concat(F.lit(t.before), role, F.lit(t.between))
-    whole = F.array(F.struct(F.lit(0).alias("mask"), F.concat(head, text, F.lit(t.after)).alias("text")))
-    split = F.array(F.struct(F.lit(0).alias("mask"), head.alias("text")), F.struct(F.lit(1).alias("mask"), F.concat(text, F.lit(t.after)).alias("text")))
-    return F.when((F.col("_p.part") != "prompt") & role.isin(*t.learned), split).otherwise(whole)
-
-
-def assemble(parts: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, chosen_mask, rejected, rejected_mask) of segments(): texts, and the masked character spans (start, end)."""
-    own = parts.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "n", "piece", "mask", "text"))).alias("s"))
-    spans = F.aggregate(
-        "s",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["text"])).alias("at"),
-            F.when(x["mask"] == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["text"])).alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    own = own.select("pair_id", "part", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"), spans.alias("mask"))
-
-    def of(part: str, what: str) -> Column:
-        return F.max(F.when(F.col("part") == part, F.col(what)))
-
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return own.groupBy("pair_id").agg(
-        F.coalesce(of("prompt", "text"), F.lit("")).alias("prompt"),
-        *(F.coalesce(of(s, w), F.lit("") if w == "text" else empty).alias(s if w == "text" else f"{s}_mask") for s in ("chosen", "rejected") for w in ("text", "mask")),
-    )
+    met = own_turns(turns).select("conv_id", "turn", F.unhex("digest").alias("digest")).join(by_side(pairs), "conv_id")
+    both = cut(met.groupBy("pair_id", "turn", "digest").agg(*(F.count_if(F.col("side") == s).alias(s[0]) for s in ("chosen", "rejected"))))
+    place = F.struct("turn", "digest", F.least("c", "r").alias("common"))
+    first = both.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), place)).alias("f"), F.sum("c").alias("_c"), F.sum("r").alias("_r"))
+    first = first.where("_c > 0 and _r > 0").select("pair_id", F.col("f.turn").alias("first_turn"), F.lower(F.hex("f.digest")).alias("first_digest"), F.col("f.common").alias("common"))
+    crowded = both.groupBy("pair_id", F.floor(F.col("turn") / RANGE).alias("turns")).agg(F.sum(F.greatest("c", "r")).alias("_n")).where(F.col("_n") > MOST).select("pair_id", "turns", F.lit(True).alias("_crowded"))
+    return first, crowded
+
+
+def segments(turns: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """(pair_id, part, turn, digest, copies, role, text): the distinct turns of each part (prompt, chosen, rejected) of pairs, with first of compared()."""
+    target = by_side(pairs).join(first, "pair_id")
+    met = own_turns(turns).join(bounded(cut(target)), "conv_id")
+    here, there = F.struct("turn", "digest"), F.struct(F.col("first_turn").alias("turn"), F.col("first_digest").alias("digest"))
+    before = F.col("first_turn").isNull() | (here < there)
+    at = F.coalesce(here == there, F.lit(False))
+    keys = ["pair_id", "side", "first_turn", "first_digest", "common", "turn", "digest", "role", "text"]
+    rows = met.where(~(before & (F.col("side") == "rejected"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    prompt = F.when(F.col("side") == "chosen", F.when(before, F.col("n")).when(at, F.col("common"))).otherwise(0)
+    rest = F.when(before, 0).when(at, F.col("n") - F.col("common")).otherwise(F.col("n"))
+    part = F.explode(F.array(F.struct(F.lit("prompt").alias("part"), prompt.alias("copies")), F.struct(F.col("side").alias("part"), rest.alias("copies"))))
+    return rows.select("pair_id", "turn", "digest", "role", "text", part.alias("_p")).select("pair_id", "_p.part", "turn", "digest", "_p.copies", "role", "text").where("copies > 0")
+
+
+def paired(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
+    """(pair_id, turns, turn, place, copy, prompt, chosen, chosen_mask, rejected, rejected_mask) of pairs (pair_id, chosen_id, rejected_id).
+
+    The masks are the spans (start, end) of characters of the completion that count. turn and place are null, and copy is 0, where a range is gathered.
+    """
+    first, crowded = compared(turns, pairs)
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit(template.before), role, F.lit(template.between))
+    learned = (F.col("part") != "prompt") & role.isin(*template.learned)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / MOST)))
+    rows = segments(turns, pairs, first).withColumns({"turns": F.floor(F.col("turn") / RANGE), "copy": chunk}).withColumn("n", F.least(F.lit(MOST), F.col("copies") - F.col("copy") * MOST).cast("int"))
+    rows = rows.join(bounded(cut(crowded)), ["pair_id", "turns"], "left").withColumn("_crowded", F.coalesce("_crowded", F.lit(False)))
+    piece = F.struct("turn", "digest", "n", head.alias("head"), F.concat(text, F.lit(template.after)).alias("body"), learned.alias("learned"))
+    own = rows.select("pair_id", "turns", F.when(F.col("_crowded"), F.col("turn")).alias("turn"), F.when(F.col("_crowded"), F.col("digest")).alias("place"), "copy", "part", piece.alias("p"))
+    found = own.groupBy("pair_id", "turns", "turn", "place", "copy").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == s, F.col("p")))).alias(s) for s in ("prompt", "chosen", "rejected")))
+
+    def whole(part: str) -> Column:
+        return F.array_join(F.transform(part, lambda p: F.repeat(F.concat(p["head"], p["body"]), p["n"])), "")
+
+    def spans(part: str) -> Column:
+        each = F.flatten(F.transform(part, lambda p: F.array_repeat(p, p["n"])))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+        def step(a: Column, p: Column) -> Column:
+            words = a["at"] + F.length(p["head"])
+            end = words + F.length(p["body"])
+            return F.struct(end.alias("at"), F.when(p["learned"], F.concat(a["out"], F.array(F.struct(words.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(each, start, step, lambda a: a["out"])
+
+    shown = [whole("prompt").alias("prompt"), *(c for s in ("chosen", "rejected") for c in (whole(s).alias(s), spans(s).alias(f"{s}_mask")))]
+    return found.select("pair_id", "turns", "turn", "place", "copy", *shown)
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs for a table of conversations without preferences: those whose ids differ in the last bit only, the even one being chosen."""
-    half = F.shiftright("conv_id", 1)
-    own = turns.where("conv_id is not null").select(half.alias("pair_id"), "conv_id")
-    return own.groupBy("pair_id").agg(F.max(F.when(F.col("conv_id") % 2 == 0, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(F.col("conv_id") % 2 != 0, F.col("conv_id"))).alias("rejected_id"))
+    own = turns.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("pair_id"), "conv_id")
+    sides = (F.max(F.when(F.col("conv_id") % 2 == 0, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(F.col("conv_id") % 2 != 0, F.col("conv_id"))).alias("rejected_id"))
+    return own.groupBy("pair_id").agg(*sides)
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return segments(turns, neighbours(turns))
+    found = paired(turns, cut(neighbours(turns)))
+    masks = {f"{s}_mask": F.array_join(F.transform(f"{s}_mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",") for s in ("chosen", "rejected")}
+    return found.withColumns(masks)
 
 
-#: DuckDB SQL for op3_preference_pairs.
-SQL = """
+#: DuckDB SQL for op3_preference_pairs, for tables without crowded ranges; a mask is its spans as text.
+SQL = f"""
 with t as (
-    select conv_id, turn, role, text,
-        row_number() over (partition by conv_id, turn order by role nulls first, text nulls first) as n,
-        (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair_id, conv_id % 2 as side
+    select conv_id, turn, role, text, md5(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')) as d,
+        (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair_id, (conv_id % 2 + 2) % 2 as side
     from conversations where conv_id is not null and turn is not null
-), c as (select * from t where side = 0), r as (select * from t where side <> 0),
-b as (
-    select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.turn, r.turn) as turn, coalesce(c.n, r.n) as n,
-        c.pair_id is not null as has_c, r.pair_id is not null as has_r,
-        c.role as c_role, c.text as c_text, r.role as r_role, r.text as r_text
-    from c full join r on c.pair_id = r.pair_id and c.turn = r.turn and c.n = r.n
-), f as (
-    select pair_id, min((turn, n)) as first from b
-    where not (has_c and has_r and c_role is not distinct from r_role and c_text is not distinct from r_text)
-    group by pair_id
-), p as (
-    select b.*, first is null or (turn, n) < first as prompt from b left join f using (pair_id)
+), m as (select pair_id, turn, d, count(*) filter (side = 0) as c, count(*) filter (side = 1) as r from t group by all),
+f as (select pair_id, min((turn, d)) filter (c <> r) as first, arg_min(least(c, r), (turn, d)) filter (c <> r) as common from m group by pair_id having sum(c) > 0 and sum(r) > 0),
+n as (select t.*, f.first, f.common, row_number() over (partition by conv_id, turn, d) as n from t join f using (pair_id)),
+p as (
+    select *, case when first is null or (turn, d) < first or ((turn, d) = first and n <= common) then 'prompt' when side = 0 then 'chosen' else 'rejected' end as part,
+        '<|im_start|>' || coalesce(role, '') || chr(10) as head, coalesce(text, '') || '<|im_end|>' || chr(10) as body
+    from n
 ), s as (
-    select pair_id, 'prompt' as part, turn, n, coalesce(c_role, '') as role, coalesce(c_text, '') as body from p where prompt
-    union all select pair_id, 'chosen', turn, n, coalesce(c_role, ''), coalesce(c_text, '') from p where not prompt and has_c
-    union all select pair_id, 'rejected', turn, n, coalesce(r_role, ''), coalesce(r_text, '') from p where not prompt and has_r
+    select *, cast(floor(turn / {RANGE}.0) as bigint) as turns, part <> 'prompt' and coalesce(role, '') = 'assistant' as learned,
+        sum(length(head) + length(body)) over (partition by pair_id, part, cast(floor(turn / {RANGE}.0) as bigint), side order by turn, d, n) as stop
+    from p where not (part = 'prompt' and side = 1)
 )
-select pair_id, part, turn, cast(n as int) as n, 0 as piece, 0 as mask,
-    '<|im_start|>' || role || chr(10) || case when part <> 'prompt' and role = 'assistant' then '' else body || '<|im_end|>' || chr(10) end as text
-from s
-union all
-select pair_id, part, turn, cast(n as int), 1, 1, body || '<|im_end|>' || chr(10) from s where part <> 'prompt' and role = 'assistant'
+select pair_id, turns, cast(null as bigint) as turn, cast(null as varchar) as place, cast(0 as bigint) as copy,
+    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'prompt'), '') as prompt,
+    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'chosen'), '') as chosen,
+    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by turn, d, n) filter (part = 'chosen' and learned), '') as chosen_mask,
+    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'rejected'), '') as rejected,
+    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by turn, d, n) filter (part = 'rejected' and learned), '') as rejected_mask
+from s group by pair_id, turns
 """

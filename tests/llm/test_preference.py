@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from quirespark.llm import preference as P
 
@@ -6,7 +7,8 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 
 def rows_of(folder):
-    return sorted(map(str, duckdb.sql(P.SQL.replace("from conversations", f"from '{folder}/conversations.parquet/*.parquet'")).fetchall()))
+    want = duckdb.sql(P.SQL.replace("from conversations", f"from '{folder}/conversations.parquet/*.parquet'"))
+    return [d[0] for d in want.description], sorted(map(str, want.fetchall()))
 
 
 def test_query_against_sql(spark, small):
@@ -16,21 +18,46 @@ def test_query_against_sql(spark, small):
             shared = t <= c // 2 % 4
             rows.append((c, t, ["system", "user", "assistant"][t % 3], f"turn {t}" if shared else f"turn {t} of {c}"))
     rows += [(100, 0, None, None), (101, 0, None, None), (100, 1, "assistant", ""), (100, 1, "assistant", ""), (101, 1, "assistant", "x" * 100_000), (None, 0, "user", "lost"), (7, None, "user", "lost"), (201, 3, "user", "alone"), (-3, 0, "user", "below"), (-4, 0, "user", "below")]
+    rows += [(c, t, "assistant", f"{t // (4 - c % 2)}") for c in (300, 301) for t in range(0, 2000, 100)] + [(302, -5, "assistant", "a"), (303, -300, "assistant", "b")]
     where = small(conversations=(rows, TURNS))
-    got = P.op3_preference_pairs(spark, where).select("pair_id", "part", "turn", "n", "piece", "mask", "text")
-    assert sorted(str(tuple(r)) for r in got.collect()) == rows_of(where)
+    columns, want = rows_of(where)
+    got = P.op3_preference_pairs(spark, where)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == want
     assert P.op3_preference_pairs(spark, small(conversations=([], TURNS))).count() == 0
 
 
-def test_assembled_pairs(spark):
+def test_pairs(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (2, 0, "user", "hi"), (2, 1, "assistant", "bye"), (3, 0, "user", "hi"), (4, 0, "user", "hi")]
-    df = spark.createDataFrame([(*t, "clash") for t in turns], TURNS + ", side string")
-    pairs = spark.createDataFrame([(10, 1, 2), (11, 3, 4), (12, 1, 99), (13, 1, 3)], "pair_id long, chosen_id long, rejected_id long")
-    got = {r.pair_id: r for r in P.assemble(P.segments(df, pairs)).collect()}
+    df = spark.createDataFrame([(*t, "clash", 1) for t in turns], TURNS + ", side string, pair_id int")
+    pairs = spark.createDataFrame([(10, 1, 2), (11, 3, 4), (12, 1, 99), (13, 1, 3), (14, None, 1)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r.pair_id: r for r in P.paired(df, pairs).collect()}
+    assert set(got) == {10, 11, 13}  # a pair with one side has no completions to pair
     a = got[10]
     assert a.prompt == "<|im_start|>user\nhi<|im_end|>\n"
     assert a.chosen == "<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n" and a.rejected == "<|im_start|>assistant\nbye<|im_end|>\n"
     assert [a.chosen[s.start : s.end] for s in a.chosen_mask] == ["hello<|im_end|>\n"] and [a.rejected[s.start : s.end] for s in a.rejected_mask] == ["bye<|im_end|>\n"]
     assert (got[11].prompt, got[11].chosen, got[11].rejected) == (a.prompt, "", "")
-    assert got[12].prompt == "" and got[12].chosen.startswith("<|im_start|>user\nhi") and got[12].rejected == ""
     assert got[13].prompt == a.prompt and got[13].rejected == "" and got[13].chosen == a.chosen
+
+
+@pytest.mark.parametrize("most", [3, 1024])
+def test_crowded_ranges_are_not_gathered(spark, monkeypatch, most):
+    """In order, the rows of a pair make up the same texts whether its ranges are gathered or not."""
+    monkeypatch.setattr(P, "MOST", most)
+    turns = [(c, t, "assistant", f"{x}") for c in (1, 2) for t in (0, 1) for x in range(4)] + [(1, 1, "assistant", "2")] * 7 + [(2, 1, "assistant", "2")] * 5 + [(2, 1, "user", "z")]
+    df = spark.createDataFrame(turns, TURNS)
+    out = P.paired(df, spark.createDataFrame([(5, 1, 2)], "pair_id long, chosen_id long, rejected_id long")).collect()
+    assert (len(out) > 8) == (most == 3)
+    key = {t: i for i, t in enumerate(sorted((r.turn, r.digest, r.role, r.text) for r in P.own_turns(df).distinct().collect()))}
+    sides = [[], []]
+    for r in P.own_turns(df).collect():
+        sides[r.conv_id - 1].append((r.turn, r.digest, r.role, r.text))
+    a, b = (sorted(s, key=key.get) for s in sides)
+    n = next(i for i in range(len(a)) if a[i] != b[i])
+    render = lambda ts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for *_, r, t in ts)
+    whole = ["".join(r[c] for r in sorted(out, key=lambda r: (r.turns, -1 if r.turn is None else r.turn, r.place or "", r.copy))) for c in ("prompt", "chosen", "rejected")]
+    assert whole == [render(a[:n]), render(a[n:]), render(b[n:])]
+    for r in out:
+        for s in ("chosen", "rejected"):
+            assert all(r[s][m.start : m.end].endswith("<|im_end|>\n") and r[s][: m.start].endswith("assistant\n") for m in r[f"{s}_mask"]) and len(r[f"{s}_mask"]) == r[s].count("assistant")
