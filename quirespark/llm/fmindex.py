@@ -7,6 +7,8 @@ each one is sampled, so a walk back from an occurrence never passes one.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 #: Positions between two samples at most.
@@ -14,37 +16,49 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling."""
+    """Order of all suffixes: by as many words as fit a number at first, then by prefix doubling of those that are still alike."""
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     ends = np.cumsum(text == 0)
-    rank = np.where(text == 0, ends - 1, text.astype(np.int64) + n)
-    order = np.argsort(rank, kind="stable")
-    rank = dense(rank, order)
-    k = 1
-    while n and rank.max() < n - 1:
-        nxt = np.full(n, 0, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        both = rank * (n + 1) + nxt
-        order = np.argsort(both, kind="stable")
-        rank = dense(both, order)
+    value = np.where(text == 0, ends, text.astype(np.int64) + ends[-1])  # from 1; beyond the end 0
+    bits = int(value.max()).bit_length()
+    k = max(1, 62 // bits)
+    padded, key = np.r_[value, np.zeros(k, np.int64)], np.zeros(n, np.int64)
+    for i in range(k):
+        key = key << bits | padded[i : i + n]
+    order = np.argsort(key)
+    rank, at = np.full(n + 1, -1, np.int64), np.arange(n)
+    first = np.r_[True, np.diff(key[order]) != 0]
+    start = np.maximum.accumulate(np.where(first, at, 0))  # a rank is the place of the first suffix alike
+    rank[order] = start
+    alike = np.nonzero(~(first & np.r_[first[1:], True]))[0]
+    while alike.size:
+        own = order[alike]
+        key = start[alike] * (n + 1) + rank[np.minimum(own + k, n)] + 1
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        first = np.r_[True, np.diff(key) != 0]
+        order[alike] = own
+        start[alike] = alike[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+        rank[own] = start[alike]
+        alike = alike[~(first & np.r_[first[1:], True])]
         k *= 2
     return order
 
 
-def dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    out = np.empty(len(key), np.int64)
-    s = key[order]
-    out[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]]) if len(key) else s
-    return out
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit words, one bit more at least."""
+    padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
+    padded[: len(bits)] = bits
+    return np.packbits(padded, bitorder="little").view(np.uint64)
 
 
 class Bits:
     """A bit vector with rank: 64-bit words and the ones before each."""
 
-    def __init__(self, bits: np.ndarray):
-        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
-        padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+    def __init__(self, words: np.ndarray):
+        self.words = words
         self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]
 
     def ones(self, i: np.ndarray) -> np.ndarray:
@@ -58,24 +72,38 @@ class Bits:
 
 
 class Index:
-    """FM-index of `text` (ids from 1 to symbols, 0 between runs; the last id is 0)."""
+    """FM-index of a text of word ids (from 1 to symbols, 0 between runs; the last id is 0): what of() makes and dump() keeps."""
 
-    def __init__(self, text: np.ndarray, symbols: int):
-        sa = suffix_array(text)
-        self.n = len(text)
-        bwt = text[sa - 1] if self.n else text
-        counts = np.bincount(text, minlength=symbols + 1)
+    def __init__(self, n: int, counts: np.ndarray, levels: np.ndarray, sampled: np.ndarray, samples: np.ndarray):
+        self.n, self.counts, self.samples = n, counts, samples
         self.first = np.r_[0, np.cumsum(counts)[:-1]]
-        self.levels: list[tuple[int, Bits, int]] = []
-        seq = bwt
+        self.sampled = Bits(sampled)
+        bits = [Bits(x) for x in levels]
+        self.levels = [(len(bits) - 1 - i, b, n - int(b.before[-1])) for i, b in enumerate(bits)]
+        self.zero = self._start(np.arange(len(counts)))
+
+    @classmethod
+    def of(cls, text: np.ndarray, symbols: int) -> Index:
+        sa = suffix_array(text)
+        n, levels = len(text), []
+        seq = text[sa - 1] if n else text
         for shift in range(max(1, int(symbols).bit_length()) - 1, -1, -1):
-            bit = (seq >> shift & 1).astype(np.uint8)
-            self.levels.append((shift, Bits(bit), int(len(bit) - bit.sum())))
+            bit = seq >> shift & 1
+            levels.append(packed(bit))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
-        start_of_run = np.r_[True, text[:-1] == 0] if self.n else np.zeros(0, bool)
-        sampled = (start_of_run | (np.arange(self.n) % SAMPLE == 0))[sa]
-        self.sampled, self.samples = Bits(sampled), sa[sampled]
-        self.zero = self._start(np.arange(symbols + 1))
+        begins = np.r_[True, text[:-1] == 0] if n else np.zeros(0, bool)
+        sampled = (begins | (np.arange(n) % SAMPLE == 0))[sa]
+        return cls(n, np.bincount(text, minlength=symbols + 1), np.stack(levels), packed(sampled), sa[sampled].astype(np.int32))
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, n=self.n, counts=self.counts.astype(np.int32), levels=np.stack([b.words for _, b, _ in self.levels]), sampled=self.sampled.words, samples=self.samples)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Index:
+        with np.load(io.BytesIO(raw)) as z:
+            return cls(int(z["n"]), z["counts"].astype(np.int64), z["levels"], z["sampled"], z["samples"])
 
     def _start(self, c: np.ndarray) -> np.ndarray:
         at = np.zeros(len(c), np.int64)

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fm_index": decontaminate.op10_fm_index,
 }
 
-ORACLE: dict[str, str] = {"op1_warc_chunks": warc.SQL, "op3_preference_pairs": preference.SQL}
+ORACLE: dict[str, str] = {"op1_warc_chunks": warc.SQL, "op3_preference_pairs": preference.SQL, "op10_fm_index": decontaminate.SQL}

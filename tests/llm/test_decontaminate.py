@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -49,7 +50,7 @@ def test_index_finds_what_a_scan_finds(ids, length, seed):
     text = np.array([*ids, 0], np.int64)
     suffixes = suffix_array(text)
     assert sorted(suffixes.tolist()) == list(range(len(text)))
-    index = Index(text, 4)
+    index = Index.load(Index.of(text, 4).dump())
     rng = np.random.default_rng(seed)
     phrases = rng.integers(1, 5, (20, length))
     which, lo, hi = index.search(phrases)
@@ -87,11 +88,50 @@ def test_against_brute_force(spark, block):
             assert split(D.cut_spans(texts[r.doc_id], r.spans)) == [w for k, w in enumerate(split(texts[r.doc_id])) if not any(a <= k < b for a, b in zip(r.spans[::2], r.spans[1::2], strict=True))]
 
 
+def test_one_index_for_any_benchmark(spark, tmp_path):
+    """A stored index answers benchmarks that it was not built for; a large item is cut to pieces."""
+    docs, bench = data()
+    D.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    other = [(7, "zzz"), (8, " ".join(docs[5][1].split()[:40])), (9, docs[8][1]), (9, docs[8][1])]
+    for items in (bench, other, []):
+        got = D.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got))) == sorted(map(str, plain(docs, items)))
+
+
+def test_pieces_hold_every_window(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 7)
+    w = [f"w{i}" for i in range(50)]
+    got = D.pieces(spark.createDataFrame([(1, " ".join(w)), (1, " ".join(w)), (2, "a b"), (3, "."), (4, " ".join(w[:13]))], "item_id long, text string"), 13).collect()
+    windows = {(r.item_id, tuple(p[i : i + 13])) for r in got for p in [bytes(r.words).split()] for i in range(max(1, len(p) - 12))}
+    assert windows == {(1, tuple(x.encode() for x in w[i : i + 13])) for i in range(38)} | {(2, (b"a", b"b")), (4, tuple(x.encode() for x in w[:13]))}
+    assert all(r.n <= 19 and r.n == len(bytes(r.words).split()) for r in got) and len(got) == 6 + 2
+
+
+def test_clean(spark):
+    docs, bench = data()
+    rows = [(i, t, len(t or ""), "x", k) for k, (i, t) in enumerate(docs)] + [(300, bench[0][1], 1, "x", 900), (None, "fine", 4, "x", 901), (300, "fine too", 8, "x", 902)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string, row int")
+    out = D.clean(df, spark.createDataFrame(bench, "item_id long, text string"))
+    assert out.dtypes == df.dtypes
+    got = {r.row: r for r in out.collect()}
+    for (i, t, n, _, row), (*_, hit, _, _, bad), words in zip(rows, plain([r[:2] for r in rows], bench), (split(r[1]) for r in rows), strict=True):
+        if bad and hit == len(words):
+            assert row not in got
+        elif bad:
+            assert len(split(got[row].text)) == len(words) - hit and got[row].n_chars == len(got[row].text)
+        else:
+            assert (got[row].doc_id, got[row].text, got[row].n_chars) == (i, t, n)
+
+
 def test_query_and_empty_tables(spark, small):
     docs, bench = data()
     rows = [(i, t, "en", "s", 0) for i, t in docs]
     where = small(documents=(rows, DOCUMENTS), benchmark=(bench, "item_id long, text string"))
-    assert sorted(str(tuple(r)[:6]) for r in D.op10_fm_index(spark, where).collect()) == sorted(map(str, plain(docs, bench)))
+    got = D.op10_fm_index(spark, where)
+    assert sorted(str(tuple(r)[:6]) for r in got.collect()) == sorted(map(str, plain(docs, bench)))
+    sql = D.SQL.replace("from documents", f"from '{where}/documents.parquet/*.parquet'").replace("from benchmark", f"from '{where}/benchmark.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, duckdb.sql(sql).fetchall()))
     where = small(documents=([], DOCUMENTS), benchmark=(bench, "item_id long, text string"))
     assert D.op10_fm_index(spark, where).count() == 0
     where = small(documents=(rows, DOCUMENTS), benchmark=([], "item_id long, text string"))
