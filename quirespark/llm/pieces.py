@@ -1,17 +1,22 @@
 """Operator 4: SentencePiece encoding and decoding by suffix-array matching.
 
-For a batch of texts the words not met before (a word is cut where no piece goes on) are
-written one after the other and indexed by a suffix array, sorted as deep as the longest
+The words of a batch of texts (a word is cut where no piece goes on) are written one after the
+other, all of them in their order, and indexed by a suffix array, sorted as deep as the longest
 piece. Every piece of the vocabulary is searched in it by bisection, all pieces at once;
 the range found holds its occurrences. Each occurrence is an edge between two positions.
-The edges are sorted by word, rank and position and relaxed: in each round the best
-edge of every word that spans two neighbouring symbols joins them, until none is left.
-This is how a byte-pair model encodes, so the ids are those of the sentencepiece library.
-Words of more than LONG characters keep their edges in a heap instead of taking rounds.
+
+A unigram model takes the best path: the edges are sorted by their position in the text
+and relaxed, all texts of the batch at the same position together (its texts are not cut to
+words, since the sums of 32-bit scores are those of whole texts); of equal paths the one whose
+last edge begins first is kept, and an edge of one unknown character stands where no piece
+of one character does. A byte-pair model is no best path but merges in order of rank: its
+edges are sorted by word, rank and position, and in each round the best edge of every word that
+spans two neighbouring symbols joins them, until none is left. Its words of more than LONG
+characters keep their edges in a heap instead of taking rounds, in arrays of about 250 bytes
+for each character of such a word. Both give the ids of the sentencepiece library.
 
 The model (a fixed size) is read once by the driver from a path given by the caller, and
-sent to the tasks. Only byte-pair models without a normalization table are taken;
-others raise ValueError.
+sent to the tasks. Only models without a normalization table are taken; others raise ValueError.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; characters
 outside the vocabulary become bytes, or the unknown id if the model has no bytes, one for
@@ -24,8 +29,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +45,12 @@ from .common import steps, table, text_steps
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 200
-#: Words that a task remembers.
-CACHE = 400_000
-#: Characters of new words that are indexed together.
+#: Characters that are indexed together, besides a longer word.
 INDEX = 500_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Fixed values of the library: kinds of models, and how far below the least score an unknown character is.
+UNIGRAM, BPE = 1, 2
+PENALTY = 10.0
 
 
 @dataclass
@@ -51,6 +60,7 @@ class Model:
     kinds: list[int]
     unknown: int
     dummy_prefix: bool
+    score: np.ndarray | None = None  # by id, of unigram models
 
     def __post_init__(self) -> None:
         own = [i for i, k in enumerate(self.kinds) if k == NORMAL]
@@ -76,7 +86,7 @@ class Model:
         joined = {c for i in self.longer for c in self.pieces[i]}
         alone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in joined)
         free = all(SPACE not in self.pieces[i].lstrip(SPACE) for i in self.longer)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if free else re.compile("(?s).+")
+        self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if free and self.score is None else re.compile("(?s).+")
         table = np.zeros(0x110000, np.uint16)
         table[:] = 1
         for c, n in self.code.items():
@@ -91,8 +101,8 @@ def load(path: str = MODEL) -> Model:
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
-    if m.trainer_spec.model_type != 2 or m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only byte-pair models without normalization are taken")
+    if m.trainer_spec.model_type not in (UNIGRAM, BPE) or m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only unigram and byte-pair models without normalization are taken")
     if any(p.type not in (1, 2, 3, 6) for p in m.pieces):
         raise ValueError("models with user-defined or unused pieces are not taken")
     score = np.array([p.score for p in m.pieces])
@@ -100,7 +110,7 @@ def load(path: str = MODEL) -> Model:
     rank = np.full(len(score), -1, np.int64)
     _, dense = np.unique(-score[normal], return_inverse=True)  # equal scores are equal ranks
     rank[normal] = dense
-    return Model([p.piece for p in m.pieces], rank, [p.type for p in m.pieces], m.trainer_spec.unk_id, m.normalizer_spec.add_dummy_prefix)
+    return Model([p.piece for p in m.pieces], rank, [p.type for p in m.pieces], m.trainer_spec.unk_id, m.normalizer_spec.add_dummy_prefix, score.astype(np.float32) if m.trainer_spec.model_type == UNIGRAM else None)
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -128,28 +138,39 @@ def suffixes(code: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
     return order, four
 
 
-def bisect(order: np.ndarray, four: np.ndarray, keys: np.ndarray, after: bool) -> np.ndarray:
-    """For every key the number of suffixes below it (after: not above it)."""
-    lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(order), np.int64)
-    while (lo < hi).any():
-        mid = np.minimum((lo + hi) >> 1, len(order) - 1)
-        at = order[mid]
-        less, same = np.zeros(len(keys), bool), np.ones(len(keys), bool)
-        for d in range(keys.shape[1]):
+def ranges(order: np.ndarray, four: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair of keys the number of suffixes below the low one, and of those not above the high one: by the first four codes, then by the rest."""
+    firsts = four[order]
+    lo, hi = np.searchsorted(firsts, low[:, 0]), np.searchsorted(firsts, high[:, 0], side="right")
+    deep = np.nonzero((lo < hi) & (low[:, 1:] > 0).any(axis=1))[0]
+    start, stop = lo[deep], hi[deep]
+    lo[deep], hi[deep] = bisect(order, four, low[deep], start, stop, False), bisect(order, four, high[deep], start, stop, True)
+    return lo, hi
+
+
+def bisect(order: np.ndarray, four: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+    """For every key the number of suffixes below it (after: not above it), which lies between lo and hi."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.nonzero(lo < hi)[0]
+    while open_.size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        at, own = order[mid], keys[open_]
+        less, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for d in range(1, keys.shape[1]):
             x = four[at + 4 * d]
-            less |= same & (x < keys[:, d])
-            same &= x == keys[:, d]
+            less |= same & (x < own[:, d])
+            same &= x == own[:, d]
         if after:
             less |= same
-        open_ = lo < hi
-        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
+        open_ = open_[lo[open_] < hi[open_]]
     return lo
 
 
 def edges(m: Model, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, number in m.longer) of every occurrence of every piece of two characters or more."""
     order, four = suffixes(code, m.deep)
-    lo, hi = bisect(order, four, m.low, False), bisect(order, four, m.high, True)
+    lo, hi = ranges(order, four, m.low, m.high)
     count = hi - lo
     piece = np.repeat(np.arange(len(lo)), count)
     return order[np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())], piece
@@ -177,90 +198,121 @@ def relax(m: Model, token: np.ndarray, nxt: np.ndarray, start: np.ndarray, piece
 
 
 def relax_long(m: Model, token: np.ndarray, nxt: np.ndarray, first: int, last: int, start: np.ndarray, piece: np.ndarray) -> None:
-    """relax() for one long word, from first to last, by a heap."""
-    of = {(s, s + int(m.width[p])): p for s, p in zip(start.tolist(), piece.tolist(), strict=True)}
-    rank = m.rank[m.longer].tolist()
-    after = {i: int(nxt[i]) for i in range(first, last)}
-    before = {after[i]: i for i in range(first, last)}
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = after.get(a)
-        c = after.get(b) if b is not None else None
-        if c is not None and (a, c) in of:
-            heapq.heappush(heap, (rank[of[a, c]], a, b, c))
-
-    for i in range(first, last):
-        offer(i)
+    """relax() for one long word, from first to last, by a heap of (rank, position); everything else is in arrays."""
+    key = (start - first) << 32 | start - first + m.width[piece]
+    by = np.argsort(key)
+    keys, pieces = array("q", key[by].tobytes()), array("q", piece[by].tobytes())
+    rank, n = m.rank[m.longer], last - first
+    after, before = array("q", range(1, n + 2)), array("q", range(-1, n + 1))
+
+    def at(a: int) -> int:
+        """Number of the edge that spans the symbol at a and the next one; -1 if there is none."""
+        b = after[a]
+        if b >= n:
+            return -1
+        k = a << 32 | after[b]
+        i = bisect_left(keys, k)
+        return i if i < len(keys) and keys[i] == k else -1
+
+    starts = np.nonzero(m.width[piece[by]] == 2)[0]
+    heap = ((rank[piece[by][starts]] << 32) | (start[by][starts] - first)).tolist()
+    heapq.heapify(heap)
     while heap:
-        _, a, b, c = heapq.heappop(heap)
-        if after.get(a) != b or after.get(b) != c:
+        top = heapq.heappop(heap)
+        a = top & 0xFFFFFFFF
+        i = at(a) if after[a] >= 0 else -1
+        if i < 0 or int(rank[pieces[i]]) != top >> 32:
             continue
-        token[b], token[a], nxt[a] = -2, m.longer[of[a, c]], c
-        after[a] = c
+        b, c = after[a], after[after[a]]
+        token[first + b], token[first + a], nxt[first + a] = -2, m.longer[pieces[i]], first + c
+        after[a], after[b] = c, -1
         before[c] = a
-        del after[b]
-        offer(a)
-        if a in before:
-            offer(before[a])
-
-
-def encode_words(m: Model, words: list[str]) -> list[bytes]:
-    """Ids (little-endian int32) of words."""
-    code = m.table[np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    size = np.array([len(w) for w in words])
+        for x in (a, before[a]):
+            if x >= 0 and (i := at(x)) >= 0:
+                heapq.heappush(heap, int(rank[pieces[i]]) << 32 | x)
+
+
+def best_paths(m: Model, token: np.ndarray, ends: np.ndarray, size: np.ndarray, start: np.ndarray, piece: np.ndarray, word: np.ndarray) -> None:
+    """Sets token (by position, -2 within a symbol) to the best path of every word of a unigram model."""
+    single = np.nonzero(token >= -1)[0]  # an edge for every character
+    single = single[np.isin(single, ends, invert=True)]
+    of = np.searchsorted(ends, single)
+    score = np.where(token[single] >= 0, m.score[token[single]], np.float32(m.score[m.rank >= 0].min() - np.float32(PENALTY)))
+    start, width, ids = np.r_[start, single], np.r_[m.width[piece], np.ones(len(single), np.int64)], np.r_[m.longer[piece], token[single]]
+    score, offset = np.r_[m.score[m.longer[piece]], score].astype(np.float32), start - (ends - size)[np.r_[word, of]]
+    order = np.lexsort((start, offset))
+    start, width, ids, score, offset = start[order], width[order], ids[order], score[order], offset[order]
+    best, edge = np.full(len(token) + 1, -np.inf, np.float32), np.full(len(token) + 1, -1, np.int64)
+    best[ends - size] = 0
+    for a, b in pairwise(np.r_[np.nonzero(np.r_[True, np.diff(offset) != 0])[0], len(offset)].tolist() if len(offset) else []):
+        end = start[a:b] + width[a:b]  # no two edges of one offset have the same start and end
+        way = best[start[a:b]] + score[a:b]
+        better = np.nonzero(way > best[end])[0]
+        best[end[better]], edge[end[better]] = way[better], better + a
+    token[np.isin(np.arange(len(token)), ends, invert=True)] = -2
+    here = ends[size > 0]
+    while here.size:
+        e = edge[here]
+        token[start[e]] = ids[e]
+        here = start[e]
+        here = here[offset[e] > 0]
+
+
+def encode_words(m: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, one after the other, and how many each word has."""
+    joined = "\0".join(words) + "\0"
+    code = m.table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1  # where the separators are
-    code = code.copy()
+    owner = np.repeat(np.arange(len(words)), size + 1)
     code[ends] = 0
     token = m.single[code]
-    nxt = np.arange(1, len(code) + 1)
     start, piece = edges(m, code)
-    word = np.searchsorted(ends, start, side="right")
-    long = size[word] > LONG
-    relax(m, token, nxt, start[~long], piece[~long], word[~long])
-    if long.any():
-        s, p, w = start[long], piece[long], word[long]
-        by = np.argsort(w, kind="stable")
-        s, p, w = s[by], p[by], w[by]
-        for part in np.split(np.arange(len(w)), np.nonzero(np.diff(w))[0] + 1):
-            k = w[part[0]]
-            relax_long(m, token, nxt, int(ends[k] - size[k]), int(ends[k]), s[part], p[part])
+    word = owner[start]
+    if m.score is not None:
+        best_paths(m, token, ends, size, start, piece, word)
+    else:
+        nxt = np.arange(1, len(code) + 1)
+        long = size[word] > LONG
+        relax(m, token, nxt, start[~long], piece[~long], word[~long])
+        if long.any():
+            s, p, w = start[long], piece[long], word[long]
+            by = np.argsort(w, kind="stable")
+            s, p, w = s[by], p[by], w[by]
+            for part in np.split(np.arange(len(w)), np.nonzero(np.diff(w))[0] + 1):
+                k = w[part[0]]
+                relax_long(m, token, nxt, int(ends[k] - size[k]), int(ends[k]), s[part], p[part])
     token[ends] = -3
     at = np.nonzero(token >= -1)[0]
     got = token[at]
     count = np.ones(len(at), np.int64)
     missing = np.nonzero(got == -1)[0]
     spelt = {}
-    if missing.size:
-        joined = "\0".join(words) + "\0"
-        for i in missing.tolist():
-            spelt[i] = m.bytes[list(joined[at[i]].encode("utf-8", "surrogatepass"))].tolist() if m.has_bytes else [m.unknown]
-            count[i] = len(spelt[i])
+    for i in missing.tolist():
+        spelt[i] = m.bytes[list(joined[at[i]].encode("utf-8", "surrogatepass"))].tolist() if m.has_bytes else [m.unknown]
+        count[i] = len(spelt[i])
     flat = np.repeat(got, count)
     offset = np.cumsum(count) - count
     for i, ids in spelt.items():
         flat[offset[i] : offset[i] + len(ids)] = ids
-    per_word = np.bincount(np.searchsorted(ends, at, side="right"), weights=count, minlength=len(words)).astype(np.int64)
-    raw, cut = flat.astype("<i4").tobytes(), np.r_[0, np.cumsum(per_word) * 4].tolist()
-    return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+    return flat.astype("<i4"), np.bincount(owner[at], weights=count, minlength=len(words)).astype(np.int64)
 
 
 class Encoder:
-    """Encodes batches of texts, remembering words, CACHE at most."""
+    """Encodes and decodes batches of texts."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        m, known = self.model, self.known
+        m = self.model
         split = [m.words.findall((SPACE if m.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set().union(*split))
-        for s in steps([len(w) + 1 for w in new], INDEX):
-            known.update(zip(new[s], encode_words(m, new[s]), strict=True))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+        words = [w for s in split for w in s]
+        parts = [encode_words(m, words[s]) for s in steps([len(w) + 1 for w in words], INDEX)]
+        flat = np.concatenate([*(ids for ids, _ in parts), np.zeros(0, "<i4")])
+        at = np.r_[0, np.cumsum(np.concatenate([*(n for _, n in parts), np.zeros(0, np.int64)]))]
+        edge = at[np.r_[0, np.cumsum([len(s) for s in split])].astype(np.int64)]
+        out = [flat[a:b] for a, b in pairwise(edge.tolist())]
         return out if m.has_bytes else [x[np.r_[True, (x[1:] != m.unknown) | (x[:-1] != m.unknown)]] if len(x) else x for x in out]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
