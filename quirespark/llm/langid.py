@@ -11,7 +11,7 @@ sample is kept from training, and everything about certainty is fitted on it:
   on whole texts and on pieces of them of a few words and letters;
 - familiarity: the mean log frequency of a text's subwords in the language that has each
   most often, as a number of standard deviations below what is usual at its length. Its
-  limit lies midway between the held-back texts and the same texts as they look to a model
+  limit lies below the held-back texts and above the same texts as they look to a model
   that never saw their language (each language left out in turn).
 
 The score is the probability of the language times that of a familiar text. A prediction is
@@ -24,9 +24,9 @@ a time.
 
 Defined cases: texts that are null or hold no letter are `und` with score 0 and rejected;
 if nothing can be learned (no labelled text) every text is `und`; if there is one language, the
-limit of familiarity is ALONE standard deviations below the held-back texts; equal scores
-go to the language that sorts first; repeated rows are rows of their own; null ids are hashed
-as the null string, which is not held out; other columns are not read.
+limit of familiarity is BELOW standard deviations below the held-back texts; equal scores go to
+the language that sorts first; repeated rows are rows of their own; null ids are hashed as the null
+string, which is not held out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,12 +53,14 @@ RATE = 0.5
 CERTAIN = 0.5
 #: Pieces of texts on which the temperature is fitted: so many words, and so many letters of a word.
 PIECES, LETTERS = (1, 2, 4, 8, 16), (1, 2, 4)
+#: Share of subwords of no known language that makes one standard deviation at least: names, numbers, quotations.
+STRANGE = 0.04
 #: Weight of a subword that no text of a language has, a whole text being 1.
 RARE = 1e-3
 TEMPERATURES = np.geomspace(1e-3, 1e3, 121)
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
-#: Shares of held-back texts and of texts of left-out languages beyond which the limit of familiarity lies.
-KNOWN, FOREIGN, ALONE = 0.002, 0.99, 6.0
+#: The limit of familiarity lies BELOW standard deviations under all but KNOWN of the held-back texts, but not beyond halfway to FOREIGN of those of left-out languages (the others may be mislabelled).
+KNOWN, FOREIGN, BELOW = 0.002, 0.75, 0.5
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
 
@@ -226,7 +228,7 @@ def left_out(model: Model, feats: list[tuple[np.ndarray, np.ndarray, int]], y: n
     model.usual = np.array([np.median(mean[y == k]) if (y == k).any() else np.median(mean) for k in range(log.shape[1])])
     single = float(inner.mean()) + 1e-6
     between = float(np.mean(np.maximum(0, (mean - model.usual[y]) ** 2 - single / n)))
-    model.spread = (between + 1e-4, single)
+    model.spread = (max(between, (STRANGE * float(model.usual.mean() - log.min())) ** 2), single)
     scale = np.sqrt(model.spread[0] + model.spread[1] / n)
     known = float(np.quantile((mean - model.usual[y]) / scale, KNOWN))
     foreign = []
@@ -237,8 +239,8 @@ def left_out(model: Model, feats: list[tuple[np.ndarray, np.ndarray, int]], y: n
             by = c @ rest[b]  # what the text looks like to the other languages
             usual = np.delete(model.usual, k)[int(by.argmax())]
             foreign.append((float(c @ rest[b].max(1)) - usual) / scale[i])
-    other = float(np.quantile(foreign, FOREIGN)) if foreign else known - 2 * ALONE
-    model.limit = (known + min(other, known)) / 2
+    other = float(np.quantile(foreign, FOREIGN)) if foreign else -math.inf
+    model.limit = known - min(BELOW, max(0.0, known - other) / 2)
     model.slope = math.log(999) / max(known - model.limit, 1.0)
 
 

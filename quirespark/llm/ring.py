@@ -81,7 +81,7 @@ def walk(counts: list[tuple[int, int, int]], nodes: list[tuple[int, int]], caps:
 
 
 def assign(df: DataFrame, key: str, shards: int, slack: float = 0.0, vnodes: int = 64, cells: int = 16384, order: list[str] | None = None) -> DataFrame:
-    """df with shard and slot. order: further columns that tell rows of one key apart."""
+    """df with shard and slot, in place of columns of these names. order: further columns that tell rows of one key apart."""
     spark, order = df.sparkSession, [key, *(order or [])]
     placed = df.withColumns({"_pos": position(F.col(key), cells), "_part": F.pmod(F.xxhash64(*order), F.lit(SUBS)).cast("int")})
     counts = [(r["_pos"], r["_part"], r["count"]) for r in placed.groupBy("_pos", "_part").count().collect()]  # cells * SUBS rows at most
@@ -90,7 +90,8 @@ def assign(df: DataFrame, key: str, shards: int, slack: float = 0.0, vnodes: int
     ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_pos", "_part").orderBy(*order)).cast("long") - 1)
     same = (F.col("r._pos") == F.col("d._pos")) & (F.col("r._part") == F.col("d._part"))
     within = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return ranked.alias("d").join(F.broadcast(ranges).alias("r"), same & within).select(*(F.col(f"d.{c}") for c in df.columns), "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
+    # a row for each position and part, and one more for each time a shard fills up: cells * SUBS + shards at most
+    return ranked.alias("d").join(F.broadcast(ranges).alias("r"), same & within).select(*(F.col(f"d.`{c}`") for c in df.columns if c not in ("shard", "slot")), F.col("r.shard").alias("shard"), (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
 def op2_bounded_ring(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

@@ -52,3 +52,26 @@ def test_few_keys_move_when_a_shard_is_added(spark):
 
 def test_empty(spark, small):
     assert ring.op2_bounded_ring(spark, small(documents=([], DOCUMENTS))).count() == 0
+
+
+def test_query_places_rows_as_the_definition_does(spark, small):
+    """Rows in ring order, one after the other, each to the first shard clockwise that is not full."""
+    rows = [(i * 37, f"text {i}", "en", "s", 0) for i in range(400)] + [(5, "hot", "x", "y", 1)] * 150
+    where = small(documents=(rows, DOCUMENTS))
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    nodes, cells = ring.ring(spark, 40, 64, 16384), 16384
+    keys = sorted(r.pos for r in docs.select(ring.position(docs.doc_id, cells).alias("pos")).collect())
+    caps = ring.capacities(len(rows), 40, 0.0)
+    used, want = [0] * 40, Counter()
+    for pos in keys:
+        first = next((i for i, (p, _) in enumerate(nodes) if p >= pos), 0)
+        shard = next(nodes[(first + k) % len(nodes)][1] for k in range(len(nodes)) if used[nodes[(first + k) % len(nodes)][1]] < caps[nodes[(first + k) % len(nodes)][1]])
+        used[shard] += 1
+        want[pos, shard] += 1
+    out = ring.op2_bounded_ring(spark, where)
+    assert Counter((r.pos, r.shard) for r in out.select(ring.position(out.doc_id, cells).alias("pos"), "shard").collect()) == want
+
+
+def test_own_columns_of_these_names(spark):
+    out = ring.assign(spark.range(50).selectExpr("id", "'mine' as shard", "id as slot", "1 as `a.b`"), "id", 4)
+    assert out.columns == ["id", "a.b", "shard", "slot"] and {r.shard for r in out.collect()} == set(range(4))
