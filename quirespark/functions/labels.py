@@ -116,6 +116,50 @@ def mime_of(filename: Column) -> Column:
     return lookup(extension(filename), MIME_TYPES, "application/octet-stream")
 
 
+#: Classes of files by ending on the server, and what the quick recognition page takes.
+SERVER_KINDS = {"image": (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp"), "pdf": (".pdf",), "word": (".doc", ".docx"), "text": (".txt",)}
+QUICK = (".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff")
+
+
+def server_kind(filename: Column) -> Column:
+    """image, pdf, word or text by the ending; null for any other."""
+    e = extension(filename)
+    return F.coalesce(*(F.when(e.isin(*v), k) for k, v in SERVER_KINDS.items()))
+
+
+def quick_allowed(filename: Column) -> Column:
+    """Whether the quick recognition page takes a file; what follows the last dot counts, though the name begin with it or have none."""
+    return F.concat(F.lit("."), F.lower(F.element_at(F.split(filename, r"\."), -1))).isin(*QUICK)
+
+
+def in_history(stored: Column) -> Column:
+    """Whether a stored file is an archived version."""
+    return F.startswith(stored, F.lit("history/"))
+
+
+def on_page(page: Column, total: Column) -> Column:
+    """Whether a document has such a page."""
+    return F.coalesce(page.between(1, total), F.lit(False))
+
+
+def progress_record() -> Column:
+    """What a page that shows the progress of recognition polls; only the confidence may be null."""
+    c = F.col
+    return F.struct(
+        c("ocr_status").alias("status"),
+        F.coalesce("ocr_progress", F.lit(0.0)).alias("progress"),
+        F.coalesce("ocr_progress_info", F.lit("")).alias("info"),
+        F.coalesce("ocr_current_page", F.lit(0)).alias("current_page"),
+        F.coalesce("ocr_total_pages", F.lit(0)).alias("total_pages"),
+        c("ocr_confidence").alias("confidence"),
+    )
+
+
+def status_record() -> Column:
+    done = F.coalesce(F.col("ocr_status") == "done", F.lit(False))
+    return F.struct(done.alias("ocr_done"), "ocr_status", F.coalesce("ocr_progress", F.lit(0.0)).alias("ocr_progress"), F.coalesce("ocr_progress_info", F.lit("")).alias("ocr_info"))
+
+
 def client_kind(filename: Column) -> Column:
     """What a browser takes a file for by its ending."""
     e = F.lower(F.regexp_extract(filename, r"(\.[^./]+)$", 1))
@@ -165,20 +209,24 @@ def progress_percent(value: Column) -> Column:
     return F.floor(value * 100 + 0.5).cast("int")
 
 
+#: Marks in notes, recognized texts and prompts.
+SUMMARY_MARK, UPDATE_MARK, FRAGMENT_MARK, CUT_MARK = "[PODSUMOWANIE AI - {}]\n", "\n[{}] Aktualizacja: ", "\n\n--- Dodany fragment ---\n", "\n\n[TEKST SKRÓCONY...]"
+
+
 def note_with_summary(note: Column, summary: Column, at: str, mode: str = "append") -> Column:
     """A note with a summary made at the time `at` put after it, before it or in its place; any other mode puts it after."""
-    new = F.concat(F.lit(f"[PODSUMOWANIE AI - {at}]\n"), summary)
+    new = F.concat(F.lit(SUMMARY_MARK.format(at)), summary)
     line = "\n\n---\n\n"
     merged = {"replace": new, "prepend": F.concat(new, F.lit(line), note)}.get(mode, F.concat(note, F.lit(line), new))
     return F.when(F.trim(F.regexp_replace(F.coalesce(note, F.lit("")), r"(?U)\s+", " ")) == "", new).otherwise(merged)
 
 
 def note_with_comment(note: Column, comment: str, at: str) -> Column:
-    return F.concat(F.coalesce(note, F.lit("")), F.lit(f"\n[{at}] Aktualizacja: {comment}"))
+    return F.concat(F.coalesce(note, F.lit("")), F.lit(UPDATE_MARK.format(at) + comment))
 
 
 def with_fragment(text: Column, fragment: Column) -> Column:
-    return F.concat(text, F.lit("\n\n--- Dodany fragment ---\n"), fragment)
+    return F.concat(text, F.lit(FRAGMENT_MARK), fragment)
 
 
 def with_breaks(text: Column) -> Column:
@@ -223,7 +271,7 @@ def first_present(json: Column, keys: tuple[str, ...] = ("content", "response",
     return out
 
 
-def prompt(text: Column, instruction: str, most: int = 8000, mark: str = "\n\n[TEKST SKRÓCONY...]") -> Column:
+def prompt(text: Column, instruction: str, most: int = 8000, mark: str = CUT_MARK) -> Column:
     return F.concat(F.lit(f"{instruction}\n\n"), truncate_at(text, most, mark))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql.functions import pandas_udf
 FOLDED = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 PLAIN = "acelnoszzACELNOSZZ"
 #: Words of a court document's headings.
+#: What the pages that count words take for white space.
+WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 HEADINGS = ("WYROK", "POSTANOWIENIE", "UZASADNIENIE", "SYGNATURA", "AKT")
 
 
@@ -82,11 +84,11 @@ def occurrences(text: Column, term: str) -> Column:
 def stats(text: Column) -> dict[str, Column]:
     """Characters, words, paragraphs, lines, characters but white space, mean word length, words a paragraph, bytes.
 
-    Means of nothing are null.
+    White space is WHITE. Means of nothing are null.
     """
-    n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
-    paragraphs = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"\s+", "") != "")).cast("long")
-    solid = F.length(F.regexp_replace(text, r"\s", "")).cast("long")
+    n_words = F.size(F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")).cast("long")
+    paragraphs = F.size(F.filter(F.split(text, rf"\n{WHITE}*\n"), lambda p: F.regexp_replace(p, f"{WHITE}+", "") != "")).cast("long")
+    solid = F.length(F.regexp_replace(text, WHITE, "")).cast("long")
     return {
         "characters": F.length(text).cast("long"),
         "words": n_words,
@@ -101,13 +103,18 @@ def stats(text: Column) -> dict[str, Column]:
 
 def confidence(text: Column) -> Column:
     """Heuristic confidence of recognized text, 0 to 1."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    doubtful = n - F.length(F.translate(t, "?�", ""))
-    w = F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
-    mean = F.try_divide(F.length(F.regexp_replace(t, r"(?U)\s", "")), F.size(w))
-    score = F.lit(0.9) - F.least(F.lit(0.3), doubtful / F.greatest(n, F.lit(1)) * 5) - F.when((mean < 2) | (mean > 15), 0.1).otherwise(0.0) - F.when(n < 100, 0.2).otherwise(0.0)
-    return F.when(n < 10, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    def measured(t: Column) -> Column:
+        n = F.length(t)
+        return F.struct(n.alias("n"), (n - F.length(F.translate(t, "?�", ""))).alias("doubtful"), F.regexp_count(t, F.lit(r"(?U)\S+")).alias("words"), F.length(F.regexp_replace(t, r"(?U)\s", "")).alias("solid"))
+
+    def score(m: Column) -> Column:
+        mean = F.try_divide(m["solid"], m["words"])
+        raw = F.lit(0.9) - F.least(F.lit(0.3), m["doubtful"] / F.greatest(m["n"], F.lit(1)) * 5) - F.when((mean < 2) | (mean > 15), 0.1).otherwise(0.0) - F.when(m["n"] < 100, 0.2).otherwise(0.0)
+        return F.when(m["n"] < 10, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+    # as an element of an array each measure is taken once, however often it is used
+    return F.transform(F.transform(F.array(F.coalesce(text, F.lit(""))), measured), score)[0]
 
 
 def law_spacing(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import labels as L
 from .versions import latest_ocr
 
+#: Fixed values.
 OCR_MARK = "\n\n=== OCR RESULTS ===\n"
 SHORTENED = "...\n[Skrócone - pobierz pełny tekst, aby zobaczyć więcej]"
 

@@ -25,6 +25,13 @@ def new_cases(uploads: DataFrame) -> DataFrame:
     return conform(uploads.withColumns({"original_filename": ok, "is_main": F.lit(True), "step": F.lit("k1"), "ocr_status": F.lit("none"), "content_type": F.lit("opinion"), "doc_type": F.lit("Opinia"), "mime_type": L.mime_of(F.col("original_filename"))}))
 
 
+def empty_cases(new: DataFrame) -> DataFrame:
+    """Rows for cases without a file, new (id, sygnatura, doc_type, step, note, upload_time); the note is stripped."""
+    stripped = F.regexp_replace("note", r"(?U)^\s+|\s+$", "")
+    own = {"original_filename": F.lit("Nowa opinia"), "stored_filename": F.concat(F.col("id").cast("string"), F.lit(".empty")), "note": F.when(F.col("note") != "", stripped)}
+    return conform(new.withColumns(own | {"is_main": F.lit(True), "ocr_status": F.lit("none"), "content_type": F.lit("opinion")}))
+
+
 def new_children(df: DataFrame, uploads: DataFrame, run_ocr: bool = True) -> DataFrame:
     """Rows for uploads (id, case_id, doc_type, original_filename, stored_filename, upload_time) to cases; they inherit person and step.
 

@@ -76,7 +76,7 @@ def region(requests: DataFrame, documents: DataFrame, load: Callable[[], Callabl
     """(request_id, text) of requests (request_id, doc_id, page, image, whole): a whole page gives the stored text of the document, if there is one."""
     from .versions import latest_ocr
 
-    stored = latest_ocr(documents).select(F.col("ocr_parent_id").alias("doc_id"), F.col("text").alias("_stored"))
+    stored = latest_ocr(documents).select(F.col("ocr_parent_id").alias("doc_id"), F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("_stored"))
     met = requests.join(stored, "doc_id", "left").withColumn("_known", F.col("whole") & F.coalesce(F.col("_stored") != "", F.lit(False)))
     known = met.where("_known").select("request_id", F.col("_stored").alias("text"))
     rest = met.where("not _known").select(F.col("request_id").alias("doc_id"), "page", "image")

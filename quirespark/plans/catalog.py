@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..operators import contents, listing, mutate, ocr, rollup, versions
+from ..sources import files, sinks
 from ..sources.schema import DUCKDB_ROWS, document
 from ..streaming import tasks
 
@@ -232,16 +233,21 @@ def updatable_documents(spark, sf_dir):
 # Texts
 
 
+_SPACED = "(select id, case when id % 20 = 0 then replace(text, ' ', chr(160)) else text end as text from document)"
+_WORDS = f"len(list_filter(regexp_split_to_array(text, '{X.WHITE}+'), lambda w: w <> ''))"
+_PARAGRAPHS = f"len(list_filter(regexp_split_to_array(text, '\\n{X.WHITE}*\\n'), lambda p: regexp_replace(p, '{X.WHITE}+', '', 'g') <> ''))"
+_SOLID = f"length(regexp_replace(text, '{X.WHITE}', '', 'g'))"
+
+
 @query(
-    r"""select id, length(text) as characters, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) as words,
-    len(list_filter(regexp_split_to_array(text, '\n[ \t\n\x0B\f\r]*\n'), lambda p: regexp_replace(p, '[ \t\n\x0B\f\r]+', '', 'g') <> '')) as paragraphs,
-    len(string_split(text, chr(10))) as lines, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) as solid_characters,
-    round(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) / nullif(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')), 0), 6) as mean_word_length,
-    round(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) / nullif(len(list_filter(regexp_split_to_array(text, '\n[ \t\n\x0B\f\r]*\n'), lambda p: regexp_replace(p, '[ \t\n\x0B\f\r]+', '', 'g') <> '')), 0), 6) as words_per_paragraph,
-    strlen(text) as bytes from document"""
+    f"""select id, length(text) as characters, {_WORDS} as words, {_PARAGRAPHS} as paragraphs, len(string_split(text, chr(10))) as lines, {_SOLID} as solid_characters,
+    round({_SOLID} / nullif({_WORDS}, 0), 6) as mean_word_length, round({_WORDS} / nullif({_PARAGRAPHS}, 0), 6) as words_per_paragraph, strlen(text) as bytes from {_SPACED}"""
 )
 def text_stats(spark, sf_dir):
-    return document(spark, sf_dir).select("id", *(c.alias(n) for n, c in X.stats(F.col("text")).items()))
+    """One text in twenty has no-break spaces for spaces."""
+    text = F.when(F.col("id") % 20 == 0, F.replace("text", F.lit(" "), F.lit("\u00a0"))).otherwise(F.col("text"))
+    d = document(spark, sf_dir).select("id", text.alias("text"))
+    return d.select("id", *(c.alias(n) for n, c in X.stats(F.col("text")).items()))
 
 
 @query("select id, cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 as bigint) as occurrences from document")
@@ -485,7 +491,7 @@ def upload_children(spark, sf_dir):
 _EVENTS = """with e as (select user_id as id, ts, event_id, value as progress, case event_type when 'signup' then 'pending' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'fail' end as status from events), s as (select * from e where status is not null)"""
 
 
-@query("select id, arg_max(status, (ts, event_id)) as status, round(arg_max(progress, (ts, event_id)) filter (progress is not null), 6) as progress, max(ts) as ts, count(*) as events from s group by id", _EVENTS)
+@query("select id, arg_max(status, (ts, event_id)) as status, round(arg_max(case when status = 'pending' then 0e0 else progress end, (ts, event_id)) filter (progress is not null or status = 'pending'), 6) as progress, max(ts) as ts, count(*) as events from s group by id", _EVENTS)
 def event_latest_status(spark, sf_dir):
     return tasks.latest_status(status_events(spark, sf_dir)).select("id", "status", F.round("progress", 6).alias("progress"), F.col("ts").cast("timestamp_ntz").alias("ts"), "events")
 
@@ -502,3 +508,222 @@ def queue_admissions(spark, sf_dir):
 @query("select date_trunc('hour', ts) as start, status, count(*) as events from s group by all", _EVENTS)
 def event_activity(spark, sf_dir):
     return tasks.activity(status_events(spark, sf_dir)).select(F.col("start").cast("timestamp_ntz").alias("start"), "status", "events")
+
+
+_REPORTS = """, r as (select id, ts, event_id, status, case when status = 'pending' then 0e0 when event_id % 3 <> 0 then progress end as progress,
+    case when status = 'pending' then 'Oczekuje w kolejce' when event_id % 4 <> 0 then 'zdarzenie ' || event_id end as info,
+    case when event_id % 2 = 0 then cast(event_id % 7 as int) end as current_page, case when event_id % 5 <> 0 then 7 end as total_pages, case when status = 'done' then (event_id % 11) / 10e0 end as confidence from s)"""
+
+
+def _reports(spark, sf_dir):
+    """Status events with everything that one may report."""
+    e = F.col("event_id")
+    return status_events(spark, sf_dir).withColumns(
+        {
+            "progress": F.when(e % 3 != 0, F.col("progress")),
+            "info": F.when(e % 4 != 0, F.concat(F.lit("zdarzenie "), e.cast("string"))),
+            "current_page": F.when(e % 2 == 0, (e % 7).cast("int")),
+            "total_pages": F.when(e % 5 != 0, F.lit(7)),
+            "confidence": F.when(F.col("status") == "done", e % 11 / 10),
+        }
+    )
+
+
+_FOLD = """select id, arg_max(status, (ts, event_id)) as status, round(arg_max(progress, (ts, event_id)) filter (progress is not null), 6) as progress, arg_max(info, (ts, event_id)) filter (info is not null) as info,
+    arg_max(current_page, (ts, event_id)) filter (progress is not null and current_page is not null and total_pages is not null) as current_page, arg_max(total_pages, (ts, event_id)) filter (progress is not null and current_page is not null and total_pages is not null) as total_pages,
+    arg_max(confidence, (ts, event_id)) filter (confidence is not null) as confidence from r group by id"""
+
+
+@query(_FOLD, _EVENTS + _REPORTS)
+def status_fold(spark, sf_dir):
+    return tasks.latest_status(_reports(spark, sf_dir)).select("id", "status", F.round("progress", 6).alias("progress"), "info", "current_page", "total_pages", "confidence")
+
+
+@query(
+    f"""select d.id, coalesce(f.status, ocr_status) as ocr_status, round(coalesce(f.progress, ocr_progress), 6) as ocr_progress, round(coalesce(f.confidence, ocr_confidence), 6) as ocr_confidence
+from document d left join ({_FOLD}) f on f.id = d.id""",
+    f"{_EVENTS}{_REPORTS}, document as (select {DUCKDB_ROWS} from documents)",
+)
+def status_applied(spark, sf_dir):
+    """The document table after all reports."""
+    d = document(spark, sf_dir).select("id", "ocr_status", "ocr_progress", "ocr_confidence")
+    return tasks.apply_status(d, tasks.latest_status(_reports(spark, sf_dir))).select("id", "ocr_status", F.round("ocr_progress", 6).alias("ocr_progress"), F.round("ocr_confidence", 6).alias("ocr_confidence"))
+
+
+@query(f"select id, TIMESTAMP '{NOW}' as ts, status, 0e0 as progress from (select id, 'pending' as status from document where ocr_status = 'fail')")
+def rerun_events(spark, sf_dir):
+    return tasks.rerun(document(spark, sf_dir).where("ocr_status = 'fail'").select("id"), NOW, 1).select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "progress")
+
+
+# Records, classes and checks
+
+
+@query(
+    """select id, ocr_status as status, coalesce(ocr_progress, 0e0) as progress, case when id % 3 = 0 then 'strona ' || id else '' end as info, coalesce(case when id % 4 = 0 then cast(id % 9 as int) end, 0) as current_page, 0 as total_pages, ocr_confidence as confidence,
+    ocr_status = 'done' as ocr_done, cast(floor(coalesce(ocr_progress, 0e0) * 100 + 0.5e0) as int) as percent from document"""
+)
+def progress_records(spark, sf_dir):
+    """What pages poll: the records of progress and status."""
+    extra = {"ocr_progress_info": F.when(F.col("id") % 3 == 0, F.concat(F.lit("strona "), F.col("id").cast("string"))), "ocr_current_page": F.when(F.col("id") % 4 == 0, (F.col("id") % 9).cast("int")), "ocr_total_pages": F.lit(None).cast("int")}
+    d = document(spark, sf_dir).drop("text").withColumns(extra).select("id", L.progress_record().alias("p"), L.status_record().alias("s"))
+    return d.select("id", "p.*", "s.ocr_done", L.progress_percent(F.col("p.progress")).alias("percent"))
+
+
+_ENDINGS = (".pdf", ".PNG", ".jpeg", ".gif", ".tif", ".tiff", ".webp", ".txt", ".doc", ".DOCX", ".log", "")
+_NAMED = "(select id, 'akta.' || id || [" + ", ".join(f"'{e}'" for e in _ENDINGS) + "][id % 12 + 1] as name, stored_filename from document)"
+
+
+@query(
+    f"""select id, case when e in ('.jpg', '.jpeg', '.png', '.tif', '.tiff', '.bmp', '.webp') then 'image' when e = '.pdf' then 'pdf' when e in ('.doc', '.docx') then 'word' when e = '.txt' then 'text' end as server_kind,
+    e in ('.pdf', '.png', '.jpg', '.jpeg', '.gif', '.bmp', '.tiff') as quick, e in ('.pdf', '.jpg', '.jpeg', '.png', '.tif', '.tiff', '.bmp', '.webp', '.txt', '.doc', '.docx') as allowed,
+    regexp_replace(name, '\\.[^./]+$', '') || '_tekst.txt' as text_name, stored_filename like 'history/%' as archived
+from (select *, lower(regexp_extract(name, '\\.[^./]+$')) as e from {_NAMED})"""
+)
+def file_classes(spark, sf_dir):
+    """Classes of file names by their endings."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("id") % 12 + 1).cast("int"))
+    d = document(spark, sf_dir).select("id", F.concat(F.lit("akta."), F.col("id").cast("string"), ending).alias("name"), "stored_filename")
+    n = F.col("name")
+    return d.select("id", L.server_kind(n).alias("server_kind"), L.quick_allowed(n).alias("quick"), L.allowed(n).alias("allowed"), L.stem_with(n, "_tekst.txt").alias("text_name"), L.in_history(F.col("stored_filename")).alias("archived"))
+
+
+@query(
+    """select id, id % 9 between 1 and 7 as on_page, case when ok then round(least(ax, bx) / w, 6) end as x1, case when ok then round(least(ay, b_y) / h, 6) end as y1, case when ok then round(greatest(ax, bx) / w, 6) end as x2, case when ok then round(greatest(ay, b_y) / h, 6) end as y2,
+    coalesce(ok and abs(least(ax, bx) / w) < 0.01 and abs(least(ay, b_y) / h) < 0.01 and abs(greatest(ax, bx) / w - 1) < 0.01 and abs(greatest(ay, b_y) / h - 1) < 0.01, false) as whole
+from (select *, abs(ax - bx) >= 10 and abs(ay - b_y) >= 10 as ok from (select id, 800e0 as w, 600e0 as h, case when id % 6 = 0 then 0e0 else id * 37 % 800 end as ax, case when id % 6 = 0 then 0e0 else id * 53 % 600 end as ay, case when id % 6 = 0 then 800e0 else id * 91 % 800 end as bx, case when id % 6 = 0 then 600e0 else id * 17 % 600 end as b_y from document))"""
+)
+def selections(spark, sf_dir):
+    """Selections on a page in pixels, as shares of it."""
+    i, whole = F.col("id"), F.col("id") % 6 == 0
+    corner = lambda k, most, else_: F.when(whole, F.lit(else_)).otherwise(i * k % most).cast("double")
+    s = L.selection(corner(37, 800, 0), corner(53, 600, 0), corner(91, 800, 800), corner(17, 600, 600), F.lit(800.0), F.lit(600.0))
+    d = document(spark, sf_dir).select("id", *(c.alias(n) for n, c in s.items()))
+    return d.select("id", L.on_page(i % 9, F.lit(7)).alias("on_page"), *(F.round(n, 6).alias(n) for n in s), F.coalesce(L.whole_page(*(F.col(n) for n in s)), F.lit(False)).alias("whole"))
+
+
+@query("select count(*) as files, sum(strlen(text)) as bytes, max(strlen(text)) <= 52428800 and sum(strlen(text)) <= 209715200 as ok from document")
+def upload_limits(spark, sf_dir):
+    return files.within_limits(document(spark, sf_dir).select(F.octet_length("text").cast("long").alias("length")))
+
+
+@query(
+    """select id, round(0.2e0 + 0.7e0 * (id % 9 + 1) / 9, 6) as page_progress, case when id % 3 = 0 then coalesce(note, '') || chr(10) || '[2024-06-01 12:00] Aktualizacja: nowa wersja' else note end as note,
+    left(text, 40) || chr(10) || chr(10) || '--- Dodany fragment ---' || chr(10) || step as with_fragment, replace(left(text, 80), chr(10), '<br>') as shown,
+    regexp_replace(regexp_replace(regexp_replace('art ' || id || ' i start  ' || id || ', Art' || chr(160) || '7, §  ' || id, 'art[\\s\\x{00A0}]+(\\d+)', 'art. \\1', 'g'), 'Art[\\s\\x{00A0}]+(\\d+)', 'Art. \\1', 'g'), '§[\\s\\x{00A0}]+(\\d+)', '§ \\1', 'g') as law,
+    case id % 4 when 0 then 'c' when 1 then '' when 2 then null else 't' end as answer from document"""
+)
+def texts_and_marks(spark, sf_dir):
+    """Progress of pages, notes after an update, fragments, line ends, law spacing and answers of a language model."""
+    c, i = F.col, F.col("id")
+    law = F.concat(F.lit("art "), i.cast("string"), F.lit(" i start  "), i.cast("string"), F.lit(", Art\u00a07, §  "), i.cast("string"))
+    json = F.when(i % 4 == 0, '{"response": "r", "content": "c"}').when(i % 4 == 1, '{"text": "t", "response": ""}').when(i % 4 == 2, '{"other": "x"}').otherwise('{"text": "t"}')
+    return document(spark, sf_dir).select(
+        "id",
+        F.round(L.page_progress(i % 9 + 1, F.lit(9)), 6).alias("page_progress"),
+        F.when(i % 3 == 0, L.note_with_comment(c("note"), "nowa wersja", NOW[:16])).otherwise(c("note")).alias("note"),
+        L.with_fragment(F.left("text", F.lit(40)), c("step")).alias("with_fragment"),
+        L.with_breaks(F.left("text", F.lit(80))).alias("shown"),
+        X.law_spacing(law).alias("law"),
+        L.first_present(json).alias("answer"),
+    )
+
+
+@query("select id, md5(replace(text, chr(13), '')) as text_md5 from document")
+def decoded_texts(spark, sf_dir):
+    """Texts from their bytes, with CR LF for line ends."""
+    d = document(spark, sf_dir).select("id", F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8").alias("content"))
+    return d.select("id", F.md5(contents.decoded("content").cast("binary")).alias("text_md5"))
+
+
+@query(f", {_PAGES}\nselect doc_id, page, cast(floor((page - 1) / 5) as int) as batch from pages_of")
+def page_batches(spark, sf_dir):
+    return ocr.batches_of(ocr.text_pages(document(spark, sf_dir))).select("doc_id", F.col("page").cast("long").alias("page"), "batch")
+
+
+# New rows and exports
+
+
+def _uploads(spark, sf_dir, where):
+    time = F.lit(NOW).cast("timestamp_ntz").alias("upload_time")
+    return document(spark, sf_dir).where(where).select((F.col("id") + 1_000_000_000).alias("id"), "original_filename", "stored_filename", time)
+
+
+@query("select 1000000000 + id as id, original_filename, 'k1' as step, 'none' as ocr_status, 'opinion' as content_type, 'Opinia' as doc_type, 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' as mime_type, true as is_main, cast(null as bigint) as parent_id from document where is_main")
+def uploaded_cases(spark, sf_dir):
+    return mutate.new_cases(_uploads(spark, sf_dir, "is_main")).select("id", "original_filename", "step", "ocr_status", "content_type", "doc_type", "mime_type", "is_main", "parent_id")
+
+
+@query("select 2000000000 + id as id, 'Nowa opinia' as original_filename, (2000000000 + id) || '.empty' as stored_filename, step, 'none' as ocr_status, 'opinion' as content_type, doc_type, sygnatura, case when note <> '' then regexp_replace(note, '^\\s+|\\s+$', '', 'g') end as note, true as is_main, cast(null as varchar) as creator from document where is_main")
+def empty_cases(spark, sf_dir):
+    new = document(spark, sf_dir).where("is_main").select((F.col("id") + 2_000_000_000).alias("id"), "sygnatura", "doc_type", "step", "note", F.lit(NOW).cast("timestamp_ntz").alias("upload_time"))
+    return mutate.empty_cases(new).select("id", "original_filename", "stored_filename", "step", "ocr_status", "content_type", "doc_type", "sygnatura", "note", "is_main", "creator")
+
+
+@query("select 1000000000 + id as id, mime_type, case when mime_type like 'image/%' then 'image' else 'document' end as content_type, cast(77 as bigint) as parent_id, 'k1' as step, 'pending' as ocr_status, false as is_main from document where not is_main")
+def quick_upload_rows(spark, sf_dir):
+    """Word files among the uploads are skipped."""
+    return mutate.quick_uploads(_uploads(spark, sf_dir, "true"), 77).select("id", "mime_type", "content_type", "parent_id", "step", "ocr_status", "is_main")
+
+
+@query(f"select id, doc_type from document union all select 1000000001, '{mutate.CONTAINER}'")
+def container_row(spark, sf_dir):
+    """The container is added once, however often it is asked for."""
+    d = document(spark, sf_dir).select("id", "doc_type", "is_main")
+    one = d.limit(0).unionByName(spark.range(1).select((F.col("id") + 1_000_000_001).alias("id"), F.lit(mutate.CONTAINER).alias("doc_type"), F.lit(True).alias("is_main")))
+    return mutate.with_container(mutate.with_container(d, one), one.withColumn("id", F.col("id") + 1)).select("id", "doc_type")
+
+
+_EDITED = "select id + 3000000000 as id, id as source_id, 'tekst ' || id as text from document where id % 10 in (3, 7)"
+
+
+@query(
+    f"""select d.id, d.doc_type, d.ocr_parent_id, case when d.ocr_status = 'none' and e.source_id is not null and l.id is null then 'done' else d.ocr_status end as ocr_status, md5(coalesce(k.text, d.text)) as text_md5, case when k.text is not null then TIMESTAMP '{NOW}' else d.last_modified end as last_modified
+from document d left join ({_EDITED}) e on e.source_id = d.id left join ({_LATEST}) l on l.ocr_parent_id = d.id left join (select x.id, y.text from ({_LATEST}) x join ({_EDITED}) y on y.source_id = x.ocr_parent_id) k on k.id = d.id
+union all select e.id, 'OCR TXT', e.source_id, 'done', md5(e.text), null from ({_EDITED}) e where not exists (select 1 from ({_LATEST}) l where l.ocr_parent_id = e.source_id)"""
+)
+def manual_texts(spark, sf_dir):
+    """Texts typed in: those of known sources are changed, others made."""
+    d = document(spark, sf_dir)
+    edits = d.where("id % 10 in (3, 7)").select((F.col("id") + 3_000_000_000).alias("id"), F.col("id").alias("source_id"), F.concat(F.lit("tekst "), F.col("id").cast("string")).alias("text"))
+    return mutate.save_manual_text(d, edits, NOW).select("id", "doc_type", "ocr_parent_id", "ocr_status", F.md5(F.col("text").cast("binary")).alias("text_md5"), "last_modified")
+
+
+@query(
+    rf"""select id, case when id % 4 <> 0 then note when coalesce(regexp_replace(note, '\s+', '', 'g'), '') = '' then s else s || chr(10) || chr(10) || '---' || chr(10) || chr(10) || note end as note
+from (select id, note, '[PODSUMOWANIE AI - {NOW[:16]}]' || chr(10) || 'Streszczenie ' || id as s from document)"""
+)
+def saved_summaries(spark, sf_dir):
+    d = document(spark, sf_dir).select("id", "note")
+    found = d.select("id", F.when(F.col("id") % 4 == 0, F.concat(F.lit("Streszczenie "), F.col("id").cast("string"))).alias("summary"))
+    return mutate.save_summaries(d, found, NOW[:16], "prepend")
+
+
+_SHOWN = "id, sygnatura, note, left(text, 60) as poczatek"
+_FIELDS = ("id", "sygnatura", "note", "poczatek")
+
+
+def _lines(field: str) -> str:
+    each = " || ',' || ".join(field.format(f"coalesce(cast({c} as varchar), '')") for c in _FIELDS)
+    return f"select {each} as value from (select {_SHOWN} from document)"
+
+
+def _shown(spark, sf_dir):
+    return document(spark, sf_dir).select("id", "sygnatura", "note", F.left("text", F.lit(60)).alias("poczatek"))
+
+
+@query("select 'id,sygnatura,note,poczatek' as value union all " + _lines("case when regexp_matches({0}, '[,\"\\r\\n]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"))
+def export_csv_lines(spark, sf_dir):
+    d = _shown(spark, sf_dir)
+    return spark.range(1).select(sinks.heading(d, sinks.minimal).alias("value")).union(sinks.body(d, sinks.minimal))
+
+
+@query("select '\"id\",\"sygnatura\",\"note\",\"poczatek\"' as value union all " + _lines("'\"' || replace(regexp_replace(trim({0}), '\\s+', ' ', 'g'), '\"', '\"\"') || '\"'"))
+def export_quoted_lines(spark, sf_dir):
+    d = _shown(spark, sf_dir)
+    return spark.range(1).select(sinks.heading(d, sinks.always).alias("value")).union(sinks.body(d, sinks.always))
+
+
+@query("select 'id,sygnatura,note,poczatek' as value union all " + _lines("replace(regexp_replace(trim({0}), '[\\r\\n]+', ' ', 'g'), ',', ';')"))
+def export_plain_lines(spark, sf_dir):
+    d = _shown(spark, sf_dir)
+    return spark.range(1).select(sinks.heading(d, sinks.never).alias("value")).union(sinks.body(d, sinks.never))

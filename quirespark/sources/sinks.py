@@ -29,12 +29,22 @@ def never(value: Column) -> Column:
     return F.replace(F.regexp_replace(F.trim(value), "[\r\n]+", " "), F.lit(","), F.lit(";"))
 
 
+def heading(df: DataFrame, field: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.array(*(field(F.lit(c)) for c in df.columns)), ",")
+
+
+def body(df: DataFrame, field: Callable[[Column], Column]) -> DataFrame:
+    """df as lines (value) without heading."""
+    return df.select(F.array_join(F.array(*(field(_text(c)) for c in df.columns)), ",").alias("value"))
+
+
 def lines(df: DataFrame, field: Callable[[Column], Column]) -> DataFrame:
-    """df as lines (value), each partition's first one after a heading."""
+    """df as lines (value), each partition's first one after a heading; an empty df is the heading alone."""
+    if df.isEmpty():
+        return df.sparkSession.range(1).select(heading(df, field).alias("value"))
     line = F.array_join(F.array(*(field(_text(c)) for c in df.columns)), ",")
-    heading = F.array_join(F.array(*(field(F.lit(c)) for c in df.columns)), ",")
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    return df.select(F.explode(F.when(first, F.array(heading, line)).otherwise(F.array(line))).alias("value"))
+    return df.select(F.explode(F.when(first, F.array(heading(df, field), line)).otherwise(F.array(line))).alias("value"))
 
 
 def in_files(df: DataFrame, files: int | None) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.labels import lookup
@@ -26,15 +27,29 @@ def status_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", lookup(F.col("event_type"), STATUS, None).alias("status"), F.col("value").alias("progress")).where("status is not null")
 
 
+#: What the queue says of a document that waits; a restart says it again.
+WAITING = "Oczekuje w kolejce"
+
+
 def latest_status(events: DataFrame) -> DataFrame:
-    """The newest status and progress of every document, and how many events it has: a fold by partial aggregates, for batches and streams alike.
+    """The newest state of every document, and how many events it has: a fold by partial aggregates, for batches and streams alike.
 
-    An event that leaves progress out (null) keeps the one before.
+    Events may have progress, info, current_page, total_pages and confidence. What an event leaves
+    out (null) keeps its value, pages count only together and with a progress, and a pending
+    event, the first or a restart, sets the progress to 0 and the info to WAITING.
     """
     order = F.struct("ts", "event_id")
-    return events.groupBy("id").agg(
+    waits = F.col("status") == "pending"
+    have = [c for c in ("info", "current_page", "total_pages", "confidence") if c in events.columns]
+    own = events.withColumn("progress", F.when(waits, 0.0).otherwise(F.col("progress")))
+    if "info" in have:
+        own = own.withColumn("info", F.when(waits, WAITING).otherwise(F.col("info")))
+    if "current_page" in have and "total_pages" in have:
+        whole = F.col("progress").isNotNull() & F.col("current_page").isNotNull() & F.col("total_pages").isNotNull()
+        own = own.withColumns({c: F.when(whole, F.col(c)) for c in ("current_page", "total_pages")})
+    return own.groupBy("id").agg(
         F.max_by("status", order).alias("status"),
-        F.max_by("progress", F.when(F.col("progress").isNotNull(), order)).alias("progress"),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("progress", *have)),
         F.max("ts").alias("ts"),
         F.count(F.lit(1)).alias("events"),
     )
@@ -70,6 +85,15 @@ def admitted_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("id").applyInPandasWithState(step, ADMITTED, "flying boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_queue(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Starts the queue: what admitted_stream() takes in is appended to Parquet files in `path`, every so often, or once for all that is there.
+
+    The checkpoint holds the flights and what has been read, so a restart goes on where the last run ended.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return admitted_stream(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def once_within(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events of a stream without those repeated (same id and status) within the delay: expiry by time, not by a flight's end."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id", "status"])
@@ -87,10 +111,15 @@ def rerun(ids: DataFrame, at: str, first_event: int) -> DataFrame:
     return ids.select("id", F.lit(at).cast("timestamp").alias("ts"), (F.lit(first_event) + F.monotonically_increasing_id()).alias("event_id"), F.lit("pending").alias("status"), F.lit(0.0).alias("progress"))
 
 
+#: Columns of the document table by those of latest_status().
+FOLDED = {"status": "ocr_status", "progress": "ocr_progress", "info": "ocr_progress_info", "current_page": "ocr_current_page", "total_pages": "ocr_total_pages", "confidence": "ocr_confidence"}
+
+
 def apply_status(df: DataFrame, latest: DataFrame) -> DataFrame:
-    """The document table with statuses of latest_status()."""
-    met = df.join(latest.select("id", F.col("status").alias("_s"), F.col("progress").alias("_p")), "id", "left")
-    return met.withColumns({"ocr_status": F.coalesce("_s", "ocr_status"), "ocr_progress": F.when(F.col("_s").isNotNull(), F.col("_p")).otherwise(F.col("ocr_progress"))}).select(*df.columns)
+    """The document table with the states of latest_status(); what they leave out (null) keeps its value."""
+    have = {c: name for c, name in FOLDED.items() if c in latest.columns and name in df.columns}
+    met = df.join(latest.select("id", *(F.col(c).alias(f"_{c}") for c in have)), "id", "left")
+    return met.withColumns({name: F.coalesce(F.col(f"_{c}"), F.col(name)) for c, name in have.items()}).select(*df.columns)
 
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:

@@ -225,3 +225,32 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<doc_id:bigint>" in plan
     plan = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("source").isin("src1", "src2")).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(source" in plan
+
+
+def test_empty_exports_have_a_heading(spark, tmp_path):
+    none = listing.export(docs(spark)).select("ID", "Typ")
+    for write, mark in ((sinks.write_csv, "\ufeff"), (sinks.write_quoted, ""), (sinks.write_plain, "")):
+        write(none, f"{tmp_path}/{write.__name__}")
+        text = "".join(p.read_bytes().decode() for p in sorted(Path(f"{tmp_path}/{write.__name__}").glob("part-*")))
+        assert text.strip("\r\n") == mark + ('"ID","Typ"' if write is sinks.write_quoted else "ID,Typ")
+
+
+def test_started_queue_goes_on_where_it_ended(spark, tmp_path, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for k in range(2):  # half of the files arrive later
+        events.where(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        tasks.run_queue(tasks.stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        got = [(r.id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+        assert len(set(got)) == len(got)
+        if k == 0:
+            first = set(got)
+            want = tasks.admitted(tasks.status_events(events.where("event_id % 2 = 0"))).collect()
+            assert first == {(r.id, r.event_id) for r in want}
+    assert first < set(got)
+
+
+def test_restart_and_omitted_fields(spark):
+    rows = [(1, 1, "pending", None, None, None, None), (1, 2, "running", 0.3, "strona 1", 1, 4), (1, 3, "running", None, "czeka", 2, 4), (1, 4, "fail", None, None, None, None), (2, 1, "running", 0.5, "x", 3, 4), (2, 2, "pending", 0.9, None, None, None), (3, 1, "running", 0.4, "y", 3, None)]
+    events = spark.createDataFrame([(i, T0 + dt.timedelta(minutes=n), n, s, p, info, a, b, None) for i, n, s, p, info, a, b in rows], "id long, ts timestamp, event_id long, status string, progress double, info string, current_page int, total_pages int, confidence double")
+    got = {r.id: (r.status, r.progress, r.info, r.current_page, r.total_pages, r.confidence) for r in tasks.latest_status(events).collect()}
+    assert got == {1: ("fail", 0.3, "czeka", 1, 4, None), 2: ("pending", 0.0, tasks.WAITING, 3, 4, None), 3: ("running", 0.4, "y", None, None, None)}
