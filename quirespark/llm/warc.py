@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, bounded, fresh_path, steps, table
+from .common import STEP_BYTES, bounded, cut, fresh_path, steps, table
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
@@ -289,7 +289,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Length and digest of a response are those of the payload as read; those of a revisit are those of
     the record that it refers to, or the digest of its header.
     """
-    found = read_chunks(spark, path, singles=False).withColumn("origin", F.coalesce("origin", "record_id"))
+    found = cut(read_chunks(spark, path, singles=False).withColumn("origin", F.coalesce("origin", "record_id")))  # each file is parsed once
     single = found.where("segment is null and type in ('response', 'resource', 'revisit')").withColumns({"payload_bytes": F.col("running_bytes"), "payload_digest": F.col("running_digest"), "segments": F.lit(1)})
     parts = found.where("segment is not null")
     heads = parts.where("segment = 1 and chunk_no = 0 and type in ('response', 'resource', 'revisit')").select("origin", "record_id", "page_id", "url", "type", "refers", "stated")
