@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows, and bytes as text, that a join side may have before it is dealt by key instead of broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: UTF-8 bytes of text that one Python step holds at a time, besides the longest single text.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

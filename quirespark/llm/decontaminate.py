@@ -39,7 +39,7 @@ WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 #: Words of a shard, besides the last document.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 #: Words of the benchmark in a block, and in a piece of an item.
 BLOCK_WORDS, PIECE = 1_000_000, 10_000
 #: Occurrences located at once.

@@ -46,7 +46,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 200
 #: Characters that are indexed together, besides a longer word.
-INDEX = 500_000
+INDEX = 125_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Fixed values of the library: kinds of models, and how far below the least score an unknown character is.
 UNIGRAM, BPE = 1, 2
