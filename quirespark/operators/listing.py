@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..plans.shared import placed
 from .fuzzy import fuzzy as fuzzy_column
 
 #: What a first visit of the list of cases shows.
@@ -64,23 +64,9 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("upload_time"), F.desc("id"))
 
 
-def numbered(df: DataFrame, ranges: int = 64) -> DataFrame:
-    """df with `position`, its place in newest_first(), without a global window.
-
-    Rows are cut into ranges of upload time at approximate quantiles, numbered within each,
-    and shifted by the number of rows in the ranges before: counts of at most `ranges` + 1 rows.
-    """
-    micros = F.expr("coalesce(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', upload_time), -9223372036854775808)")
-    quantiles = df.agg(F.percentile_approx(micros, [i / ranges for i in range(1, ranges)])).first()[0] or []
-    later = F.array(*(F.lit(c) for c in sorted(set(quantiles)))).cast("array<bigint>")
-    cut = df.withColumn("_range", F.size(F.filter(later, lambda c: c > micros)))
-    sizes = sorted((r["_range"], r["count"]) for r in cut.groupBy("_range").count().collect())
-    before, total = F.lit(0), 0
-    for part, n in sizes:
-        before = F.when(F.col("_range") == part, F.lit(total)).otherwise(before)
-        total += n
-    own = F.row_number().over(W.partitionBy("_range").orderBy(F.desc("upload_time"), F.desc("id")))
-    return cut.withColumn("position", (before + own).cast("long")).drop("_range")
+def numbered(df: DataFrame) -> DataFrame:
+    """df with `position`, its place in newest_first() from 1; equal times are told apart by id and may lie in several tasks."""
+    return placed(df, [], [F.desc("upload_time"), F.desc("id")], "position").withColumn("position", F.col("position") + 1)
 
 
 def facets(df: DataFrame) -> DataFrame:
