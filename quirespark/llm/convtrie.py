@@ -18,7 +18,7 @@ a node owns all nodes below on its path.
 Names and turns are known by 128 bits of digests. Conversations alike are one node's members and are counted before they move.
 
 Defined cases: null roles and texts are empty; turns of one number come by the SHA-256 of role and text; rows without conv_id are no
-conversation's; repeated rows are turns of their own; no conversation gives no node, not even a root; other columns are not read.
+conversation's; remainders of negative ids are negative, as in SQL; repeated rows are turns of their own; no conversation gives no node, not even a root; other columns are not read.
 """
 
 from __future__ import annotations

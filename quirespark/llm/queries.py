@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, licenses, pieces, preference, ring, simhash, toxicity, warc
+from . import ann, convtrie, decontaminate, divergence, langid, licenses, pieces, preference, ring, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
@@ -19,6 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_levenshtein_trie": toxicity.op8_levenshtein_trie,
     "op9_license_tfidf": licenses.op9_license_tfidf,
     "op10_fm_index": decontaminate.op10_fm_index,
+    "op11_run_columns": divergence.op11_run_columns,
+    "op13_prefix_trie": convtrie.op13_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {"op1_warc_chunks": warc.SQL, "op3_preference_pairs": preference.SQL, "op10_fm_index": decontaminate.SQL}
+ORACLE: dict[str, str] = {
+    "op1_warc_chunks": warc.SQL,
+    "op3_preference_pairs": preference.SQL,
+    "op10_fm_index": decontaminate.SQL,
+    "op11_run_columns": divergence.SQL,
+    "op13_prefix_trie": convtrie.SQL,
+}

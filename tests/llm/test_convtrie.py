@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import pytest
@@ -15,7 +16,7 @@ def expected(rows):
             role, text = role or "", text or ""
             own.setdefault(c, []).append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
     own = {c: [x[3:] for x in sorted(t)] for c, t in own.items()}
-    seqs = {c: own.get(c - c % 100, [])[: (h := zlib.crc32(str(c).encode()) % 6)] + t[h:] for c, t in own.items()}
+    seqs = {c: own.get(c - int(math.fmod(c, 100)), [])[: (h := zlib.crc32(str(c).encode()) % 6)] + t[h:] for c, t in own.items()}
     members = {}
     for c, s in seqs.items():
         for d in range(len(s) + 1):
