@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, convtrie, decontaminate, divergence, langid, licenses, pieces, preference, ring, simhash, toxicity, warc
+from . import ann, convtrie, decontaminate, divergence, langid, licenses, pieces, preference, repeats, ring, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_tfidf": licenses.op9_license_tfidf,
     "op10_fm_index": decontaminate.op10_fm_index,
     "op11_run_columns": divergence.op11_run_columns,
+    "op12_repeated_bytes": repeats.op12_repeated_bytes,
     "op13_prefix_trie": convtrie.op13_prefix_trie,
 }
 
@@ -28,5 +29,6 @@ ORACLE: dict[str, str] = {
     "op3_preference_pairs": preference.SQL,
     "op10_fm_index": decontaminate.SQL,
     "op11_run_columns": divergence.SQL,
+    "op12_repeated_bytes": repeats.SQL,
     "op13_prefix_trie": convtrie.SQL,
 }
