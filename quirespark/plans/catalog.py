@@ -727,3 +727,8 @@ def export_quoted_lines(spark, sf_dir):
 def export_plain_lines(spark, sf_dir):
     d = _shown(spark, sf_dir)
     return spark.range(1).select(sinks.heading(d, sinks.never).alias("value")).union(sinks.body(d, sinks.never))
+
+
+# Queries of other modules register themselves here.
+
+from . import file_queries  # noqa: E402, F401
