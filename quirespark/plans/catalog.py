@@ -731,4 +731,4 @@ def export_plain_lines(spark, sf_dir):
 
 # Queries of other modules register themselves here.
 
-from . import file_queries  # noqa: E402, F401
+from . import file_queries, text_queries  # noqa: E402, F401

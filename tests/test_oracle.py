@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 from quirespark.functions import text as X
+from quirespark.operators.fuzzy import fuzzy_match
 from quirespark.plans.catalog import ORACLE, QUERIES
 from quirespark.sources.schema import document
 
@@ -63,6 +64,15 @@ def test_fuzzy_search_is_its_definition(spark):
     assert want and {r.id: r.matches for r in QUERIES["doc_search_fuzzy"](spark, SF).collect()} == want
 
 
+def test_vocabulary_search_is_the_fuzzy_search_of_each_term(spark):
+    docs = document(spark, SF)
+    got = {}
+    for r in QUERIES["vocabulary_search"](spark, SF).collect():
+        got.setdefault(r.term, set()).add(r.id)
+    for term in ("pathetc", "Theory!", "understnad", "et", "verfahren", "les", "zzzzzz", "of teh", "!!"):
+        assert got.get(term, set()) == {r.id for r in fuzzy_match(docs, "id", "text", term).where("matched").collect()}, term
+
+
 def score(t):
     words = t.split()
     if len(t) < 10:
@@ -91,4 +101,4 @@ def test_clean_texts_keep_their_words(spark):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(QUERIES) - set(ORACLE) == {"doc_search_fuzzy", "recognized_documents", "clean_ocr_text"}
+    assert set(QUERIES) - set(ORACLE) == {"doc_search_fuzzy", "vocabulary_search", "recognized_documents", "clean_ocr_text"}
