@@ -5,9 +5,9 @@ bytes with the least hash is its anchor; equal strings have equal anchors at equ
 one another with one anchor make a stretch. Stretches are dealt by anchor; an anchor that only one stretch has cannot
 repeat, and its bytes are not sent. Equal stretches are counted and sent once. So a shard holds different stretches of repeated anchors.
 
-An anchor may have very many different stretches: a passage that is quoted everywhere, each time between other words. Such are cut
-into finer stretches of neighbouring strings, dealt by the bytes that all strings of one such part share. The finest hold one
-string each, of which equal ones are equal stretches. So no anchor brings more than MOST stretches to a shard.
+An anchor may have very many different stretches: a passage that is quoted everywhere, each time between other words. Each of these is
+cut into finer stretches of neighbouring strings, which are counted and dealt in the same way, by the bytes that all strings of one such part
+share. The finest hold one string each, of which equal ones are equal stretches. So no anchor brings more than MOST stretches to a shard.
 
 In a shard the suffix array of all stretches is induced and the permuted common prefixes are computed from it (suffixes.py); a string
 repeats if its suffix shares LENGTH bytes with a neighbour in the array, or if its stretch was counted more than once.
@@ -141,15 +141,18 @@ def with_text(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return texts.select("text_key", "text").join(mine, "text_key")
 
 
-def finer(texts: DataFrame, rows: DataFrame, part: int) -> DataFrame:
-    """The stretches of rows in parts of `part` strings at most, as rows of ROWS whose anchor is now a hash of the bytes that all strings of a part share.
+PARTED = f"{ROWS}, of_anchor long, of_stretch long, place int"
+
+
+def finer(texts: DataFrame, kinds: DataFrame, part: int) -> DataFrame:
+    """The stretches of kinds (anchor, stretch, first) in parts of `part` strings at most: rows of ROWS, whose anchor is now a hash of the bytes that all strings of a part share, with the stretch they are parts of and their place in it.
 
     Parts are counted from the old anchor, so equal strings are in equal places of parts alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in text_steps(batch)):
-            keys, start, n, ahead, shared, digest = [], [], [], [], [], []
+            keys, start, n, ahead, shared, digest, of = [], [], [], [], [], [], []
             for i, (text, rows_) in enumerate(zip(b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True)):
                 for r in rows_:
                     anchor, end = r["start"] + r["ahead"], r["start"] + r["n"]
@@ -164,10 +167,13 @@ def finer(texts: DataFrame, rows: DataFrame, part: int) -> DataFrame:
                         ahead.append(anchor - at)
                         shared.append(xxh3_64_intdigest(text[edge + part - 1 : edge + LENGTH], seed=(k << 8) % (1 << 64) + part))
                         digest.append(xxh3_64_intdigest(text[at : stop + LENGTH - 1]))
+                        of.append((r["anchor"], r["stretch"], at - r["start"]))
                         at = stop
-            yield rows_of(b.column("text_key").take(pa.array(keys, pa.int64())), *(np.array(x, np.int64) for x in (start, n, ahead)), np.array(shared, np.uint64), digest)
+            rows = rows_of(b.column("text_key").take(pa.array(keys, pa.int64())), *(np.array(x, np.int64) for x in (start, n, ahead)), np.array(shared, np.uint64), digest)
+            more = zip(*of, strict=True) if of else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, t) for x, t in zip(more, (pa.int64(), pa.int64(), pa.int32()), strict=True))], names=[c.split()[0] for c in PARTED.split(", ")])
 
-    return with_text(texts, rows, "start", "n", "ahead").mapInArrow(run, ROWS)
+    return with_text(texts, kinds.select("first.*", "anchor", "stretch"), "start", "n", "ahead", "anchor", "stretch").mapInArrow(run, PARTED)
 
 
 def repeats_in(data: np.ndarray) -> np.ndarray:
@@ -231,22 +237,33 @@ def stretch_bytes(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     return with_text(texts, rows, "start", "n", "anchor", "stretch", "copies").mapInArrow(run, schema)
 
 
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """(anchor, stretch, copies, first): equal stretches counted, and where one of them is."""
+    return rows.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_key", "start", "n", "ahead")).alias("first"))
+
+
+def found_among(texts: DataFrame, kinds: DataFrame, most: int, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """FOUND of kinds, those of anchors with more than `most` kinds by way of their parts."""
+    anchors = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("copies").alias("_rows")).where("_rows > 1"))
+    few = kinds.join(anchors.where(F.col("_kinds") <= most), "anchor", "left_semi")
+    found = cut(shard_repeats(stretch_bytes(texts, few)))
+    many = anchors.where(F.col("_kinds") > most)
+    if not parts or many.isEmpty():
+        return found
+    crowded = cut(kinds.join(many, "anchor", "left_semi"))
+    twice = crowded.where("copies > 1").select("anchor", "stretch", F.array(F.lit(0), F.col("first.n") - 1).alias("found"))
+    pieces = cut(finer(texts, crowded, parts[0]))
+    inner = found_among(texts, cut(kinds_of(pieces)), most, parts[1:])
+    once = crowded.where("copies = 1").select(F.col("anchor").alias("of_anchor"), F.col("stretch").alias("of_stretch"))
+    moved = pieces.join(inner, ["anchor", "stretch"]).select("of_anchor", "of_stretch", F.transform("found", lambda x: x + F.col("place")).alias("found"))
+    merged = moved.join(once, ["of_anchor", "of_stretch"], "left_semi").groupBy("of_anchor", "of_stretch").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return cut(found.unionByName(twice).unionByName(merged.toDF("anchor", "stretch", "found")))
+
+
 def repeated(texts: DataFrame, most: int = MOST) -> DataFrame:
     """(text_key, first, last) of stored texts: runs of places at which a string begins that begins elsewhere too, in this text or another."""
-    rows, all_rows, found = cut(anchored(texts)), [], []
-    for part in (*PARTS, None):
-        all_rows.append(rows)
-        first = F.min(F.struct("text_key", "start", "n")).alias("first")
-        kinds = cut(rows.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), first))
-        anchors = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("copies").alias("_rows")).where("_rows > 1"))
-        few = kinds.join(anchors.where(F.col("_kinds") <= most), "anchor", "left_semi")
-        found.append(cut(shard_repeats(stretch_bytes(texts, few))))
-        many = anchors.where(F.col("_kinds") > most)
-        if part is None or many.isEmpty():
-            break
-        rows = cut(finer(texts, rows.join(many, "anchor", "left_semi"), part))
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    met = union(all_rows).join(union(found), ["anchor", "stretch"])
+    rows = cut(anchored(texts))
+    met = rows.join(found_among(texts, cut(kinds_of(rows)), most), ["anchor", "stretch"])
     place = F.explode(F.sequence(F.lit(0), F.size("found") - 2, F.lit(2))).alias("_i")
     met = met.select("text_key", "start", "found", place)
     return met.select("text_key", *((F.col("start") + F.get("found", F.col("_i") + k)).alias(name) for k, name in enumerate(("first", "last"))))
