@@ -13,9 +13,11 @@ from pyspark.sql.functions import pandas_udf
 #: Letters that are folded, and what they become.
 FOLDED = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 PLAIN = "acelnoszzACELNOSZZ"
-#: Words of a court document's headings.
 #: What the pages that count words take for white space.
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The characters of WHITE but the line end.
+SPACES = "\t\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Words of a court document's headings.
 HEADINGS = ("WYROK", "POSTANOWIENIE", "UZASADNIENIE", "SYGNATURA", "AKT")
 
 
@@ -86,9 +88,17 @@ def stats(text: Column) -> dict[str, Column]:
 
     White space is WHITE. Means of nothing are null.
     """
-    n_words = F.size(F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")).cast("long")
-    paragraphs = F.size(F.filter(F.split(text, rf"\n{WHITE}*\n"), lambda p: F.regexp_replace(p, f"{WHITE}+", "") != "")).cast("long")
-    solid = F.length(F.regexp_replace(text, WHITE, "")).cast("long")
+
+    def measured(t: Column) -> Column:
+        # with all white space but line ends as spaces, further patterns match a class of two characters
+        bare = F.translate(t, SPACES, " " * len(SPACES))
+        words = F.size(F.filter(F.split(bare, "[ \n]+"), lambda w: w != ""))
+        paragraphs = F.size(F.filter(F.split(bare, r"\n[ \n]*\n"), lambda p: p.rlike(r"[^ \n]")))
+        return F.struct(words.cast("long").alias("words"), paragraphs.cast("long").alias("paragraphs"), F.length(F.translate(bare, " \n", "")).cast("long").alias("solid"))
+
+    # as an element of an array the measures are taken once, however often they are used
+    m = F.transform(F.array(text), lambda t: F.when(t.isNotNull(), measured(t)))[0]
+    n_words, paragraphs, solid = m["words"], m["paragraphs"], m["solid"]
     return {
         "characters": F.length(text).cast("long"),
         "words": n_words,

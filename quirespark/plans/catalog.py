@@ -608,7 +608,7 @@ def upload_limits(spark, sf_dir):
 
 @query(
     """select id, round(0.2e0 + 0.7e0 * (id % 9 + 1) / 9, 6) as page_progress, case when id % 3 = 0 then coalesce(note, '') || chr(10) || '[2024-06-01 12:00] Aktualizacja: nowa wersja' else note end as note,
-    left(text, 40) || chr(10) || chr(10) || '--- Dodany fragment ---' || chr(10) || step as with_fragment, replace(left(text, 80), chr(10), '<br>') as shown,
+    text || chr(10) || chr(10) || '--- Dodany fragment ---' || chr(10) || step as with_fragment, replace(text, chr(10), '<br>') as shown,
     regexp_replace(regexp_replace(regexp_replace('art ' || id || ' i start  ' || id || ', Art' || chr(160) || '7, §  ' || id, 'art[\\s\\x{00A0}]+(\\d+)', 'art. \\1', 'g'), 'Art[\\s\\x{00A0}]+(\\d+)', 'Art. \\1', 'g'), '§[\\s\\x{00A0}]+(\\d+)', '§ \\1', 'g') as law,
     case id % 4 when 0 then 'c' when 1 then '' when 2 then null else 't' end as answer from document"""
 )
@@ -621,8 +621,8 @@ def texts_and_marks(spark, sf_dir):
         "id",
         F.round(L.page_progress(i % 9 + 1, F.lit(9)), 6).alias("page_progress"),
         F.when(i % 3 == 0, L.note_with_comment(c("note"), "nowa wersja", NOW[:16])).otherwise(c("note")).alias("note"),
-        L.with_fragment(F.left("text", F.lit(40)), c("step")).alias("with_fragment"),
-        L.with_breaks(F.left("text", F.lit(80))).alias("shown"),
+        L.with_fragment(c("text"), c("step")).alias("with_fragment"),
+        L.with_breaks(c("text")).alias("shown"),
         X.law_spacing(law).alias("law"),
         L.first_present(json).alias("answer"),
     )
@@ -653,6 +653,16 @@ def uploaded_cases(spark, sf_dir):
     return mutate.new_cases(_uploads(spark, sf_dir, "is_main")).select("id", "original_filename", "step", "ocr_status", "content_type", "doc_type", "mime_type", "is_main", "parent_id")
 
 
+@query(
+    """select id, original_filename, error from (
+    select 1000000000 + id as id, original_filename, case when id >= first then 'Opinie muszą być w formacie Word (.doc, .docx)' end as error
+    from document, (select min(id) as first from document where not is_main and id > 120) where is_main or id > 120)"""
+)
+def partial_upload(spark, sf_dir):
+    """Uploads are taken up to the first that is no Word file."""
+    return mutate.taken(_uploads(spark, sf_dir, "is_main or id > 120")).select("id", "original_filename", "error")
+
+
 @query("select 2000000000 + id as id, 'Nowa opinia' as original_filename, (2000000000 + id) || '.empty' as stored_filename, step, 'none' as ocr_status, 'opinion' as content_type, doc_type, sygnatura, case when note <> '' then regexp_replace(note, '^\\s+|\\s+$', '', 'g') end as note, true as is_main, cast(null as varchar) as creator from document where is_main")
 def empty_cases(spark, sf_dir):
     new = document(spark, sf_dir).where("is_main").select((F.col("id") + 2_000_000_000).alias("id"), "sygnatura", "doc_type", "step", "note", F.lit(NOW).cast("timestamp_ntz").alias("upload_time"))
@@ -698,32 +708,34 @@ def saved_summaries(spark, sf_dir):
     return mutate.save_summaries(d, found, NOW[:16], "prepend")
 
 
-_SHOWN = "id, sygnatura, note, left(text, 60) as poczatek"
-_FIELDS = ("id", "sygnatura", "note", "poczatek")
+#: One text in three begins and ends with white space of several kinds, and all have line ends, quotes or commas somewhere.
+_SHOWN = "id, sygnatura, note, case when id % 3 = 0 then chr(10) || chr(160) || ' ' || text || chr(8201) || chr(13) || chr(10) else text end as tekst"
+_FIELDS = ("id", "sygnatura", "note", "tekst")
 
 
 def _lines(field: str) -> str:
-    each = " || ',' || ".join(field.format(f"coalesce(cast({c} as varchar), '')") for c in _FIELDS)
+    each = " || ',' || ".join(field.replace("{0}", f"coalesce(cast({c} as varchar), '')") for c in _FIELDS)
     return f"select {each} as value from (select {_SHOWN} from document)"
 
 
 def _shown(spark, sf_dir):
-    return document(spark, sf_dir).select("id", "sygnatura", "note", F.left("text", F.lit(60)).alias("poczatek"))
+    spaced = F.concat(F.lit("\n\u00a0 "), "text", F.lit("\u2009\r\n"))
+    return document(spark, sf_dir).select("id", "sygnatura", "note", F.when(F.col("id") % 3 == 0, spaced).otherwise(F.col("text")).alias("tekst"))
 
 
-@query("select 'id,sygnatura,note,poczatek' as value union all " + _lines("case when regexp_matches({0}, '[,\"\\r\\n]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"))
+@query("select 'id,sygnatura,note,tekst' as value union all " + _lines("case when regexp_matches({0}, '[,\"\\r\\n]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"))
 def export_csv_lines(spark, sf_dir):
     d = _shown(spark, sf_dir)
     return spark.range(1).select(sinks.heading(d, sinks.minimal).alias("value")).union(sinks.body(d, sinks.minimal))
 
 
-@query("select '\"id\",\"sygnatura\",\"note\",\"poczatek\"' as value union all " + _lines("'\"' || replace(regexp_replace(trim({0}), '\\s+', ' ', 'g'), '\"', '\"\"') || '\"'"))
+@query("select '\"id\",\"sygnatura\",\"note\",\"tekst\"' as value union all " + _lines("'\"' || replace(trim(regexp_replace({0}, '" + X.WHITE + "+', ' ', 'g')), '\"', '\"\"') || '\"'"))
 def export_quoted_lines(spark, sf_dir):
     d = _shown(spark, sf_dir)
     return spark.range(1).select(sinks.heading(d, sinks.always).alias("value")).union(sinks.body(d, sinks.always))
 
 
-@query("select 'id,sygnatura,note,poczatek' as value union all " + _lines("replace(regexp_replace(trim({0}), '[\\r\\n]+', ' ', 'g'), ',', ';')"))
+@query("select 'id,sygnatura,note,tekst' as value union all " + _lines("replace(regexp_replace(regexp_replace({0}, '^" + X.WHITE + "+|" + X.WHITE + "+$', '', 'g'), '[\\r\\n]+', ' ', 'g'), ',', ';')"))
 def export_plain_lines(spark, sf_dir):
     d = _shown(spark, sf_dir)
     return spark.range(1).select(sinks.heading(d, sinks.never).alias("value")).union(sinks.body(d, sinks.never))

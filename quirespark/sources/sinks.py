@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
+
 BOM = "\ufeff"
 
 
@@ -20,13 +22,13 @@ def minimal(value: Column) -> Column:
 
 
 def always(value: Column) -> Column:
-    """White space collapsed, always quoted."""
-    return F.concat(F.lit('"'), F.replace(F.regexp_replace(F.trim(value), r"\s+", " "), F.lit('"'), F.lit('""')), F.lit('"'))
+    """White space of all kinds trimmed and collapsed, always quoted."""
+    return F.concat(F.lit('"'), F.replace(F.trim(F.regexp_replace(value, f"{WHITE}+", " ")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
 def never(value: Column) -> Column:
-    """Never quoted: line ends become spaces, commas semicolons."""
-    return F.replace(F.regexp_replace(F.trim(value), "[\r\n]+", " "), F.lit(","), F.lit(";"))
+    """Never quoted: white space of all kinds trimmed, line ends within become spaces, commas semicolons."""
+    return F.replace(F.regexp_replace(F.regexp_replace(value, f"^{WHITE}+|{WHITE}+$", ""), "[\r\n]+", " "), F.lit(","), F.lit(";"))
 
 
 def heading(df: DataFrame, field: Callable[[Column], Column]) -> Column:

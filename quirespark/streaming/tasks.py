@@ -27,7 +27,7 @@ def status_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", lookup(F.col("event_type"), STATUS, None).alias("status"), F.col("value").alias("progress")).where("status is not null")
 
 
-#: What the queue says of a document that waits; a restart says it again.
+#: Fixed value: what the queue says of a document that waits; a restart says it again.
 WAITING = "Oczekuje w kolejce"
 
 

@@ -254,3 +254,34 @@ def test_restart_and_omitted_fields(spark):
     events = spark.createDataFrame([(i, T0 + dt.timedelta(minutes=n), n, s, p, info, a, b, None) for i, n, s, p, info, a, b in rows], "id long, ts timestamp, event_id long, status string, progress double, info string, current_page int, total_pages int, confidence double")
     got = {r.id: (r.status, r.progress, r.info, r.current_page, r.total_pages, r.confidence) for r in tasks.latest_status(events).collect()}
     assert got == {1: ("fail", 0.3, "czeka", 1, 4, None), 2: ("pending", 0.0, tasks.WAITING, 3, 4, None), 3: ("running", 0.4, "y", None, None, None)}
+
+
+def test_changes_with_repeated_ids(spark):
+    d = docs(spark, {"id": 1, "is_main": True, "stored_filename": "1.docx"}, {"id": 2})
+    twice = spark.createDataFrame([(1, "first", 1), (1, "last", 2), (2, "x", 1), (None, "lost", 3)], "id long, note string, n int")
+    assert {r.id: r.note for r in mutate.update_note(d, twice, order="n").collect()} == {1: "last", 2: "x"}
+    with pytest.raises(Exception, match="several changes of id 1"):
+        mutate.update_note(d, twice).collect()
+    steps = spark.createDataFrame([(1, "k2", "", "S", 1), (1, "k3", "T", None, 2)], "id long, step string, doc_type string, sygnatura string, n int")
+    assert {r.id: (r.step, r.doc_type, r.sygnatura) for r in mutate.update_metadata(d, steps, order="n").collect()} == {1: ("k3", "T", None), 2: ("k1", None, None)}
+    texts = spark.createDataFrame([(50, 2, "old", 1), (51, 2, "new", 2)], "id long, source_id long, text string, n int")
+    assert [(r.id, r.text) for r in mutate.save_manual_text(d, texts, "2024-02-02 00:00:00", order="n").where("ocr_parent_id = 2").collect()] == [(51, "new")]
+    new = spark.createDataFrame([(1, "a.docx", "a", 70, "", 1), (1, "b.docx", "b", 71, "", 2)], "id long, original_filename string, stored_filename string, history_id long, comments string, n int")
+    assert {r.id: r.original_filename for r in mutate.replace_file(d, new, "2024-02-02 00:00:00", "s", order="n").collect()} == {1: "b.docx", 2: "a.pdf", 71: "a.pdf (wersja z s)"}
+    said = spark.createDataFrame([(2, "eins", 1), (2, "zwei", 2)], "id long, summary string, n int")
+    assert [r.note for r in mutate.save_summaries(d, said, "t", order="n").where("id = 2").collect()] == ["[PODSUMOWANIE AI - t]\nzwei"]
+
+
+def test_uploads_up_to_a_refused_one(spark):
+    names = ["a.docx", "B.DOC", "c.pdf", "d.docx", "e.exe"]
+    up = spark.createDataFrame([(i, n, f"{i}.bin", T0, "application/msword" if i == 1 else None) for i, n in enumerate(names)], "id long, original_filename string, stored_filename string, upload_time timestamp_ntz, mime_type string")
+    assert [r.error for r in mutate.taken(up).orderBy("id").collect()] == [None, None, mutate.NOT_WORD, mutate.NOT_WORD, mutate.NOT_WORD]
+    assert {r.id: r.mime_type for r in mutate.new_cases(up, partial=True).collect()} == {0: schema.WORD_MIME, 1: "application/msword"}
+    assert [r.error for r in mutate.taken(up.where("id > 3")).collect()] == [mutate.NOT_ALLOWED] and mutate.new_cases(up.where("id > 9"), partial=True).collect() == []
+    with pytest.raises(Exception, match="not a Word file: [ce]"):
+        mutate.new_cases(up).collect()
+
+
+def test_exports_trim_white_space_of_all_kinds(spark):
+    df = spark.createDataFrame([("\n  a, b\r\nc ﻿",)], "v string")
+    assert sinks.body(df, sinks.always).first().value == '"a, b c"' and sinks.body(df, sinks.never).first().value == "a; b c"
