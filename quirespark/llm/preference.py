@@ -4,20 +4,18 @@ A pair is a chosen and a rejected conversation. Their longest common prefix of t
 rendered once as the prompt, the rest of each as a completion, with a mask that is 1 on
 the assistant's words and the end of its turn (they count for the loss) and 0 elsewhere.
 
-compared() finds where the two part from digests of turns alone: a sum for each pair, turn and
-digest, then a minimum for each pair, both with partial aggregates, so repeated turns
-never meet in one place. The texts follow: they are joined with their pair's result, those of
-the rejected side's half of the prompt are left out, and equal ones are counted. So texts
-are dealt out twice at most, once for the count and once to be put together.
-
-paired() puts together the turns of a pair in ranges of RANGE turn numbers, each a row of a
-prompt and two completions; an ordinary conversation is one row. A range of more than MOST
-turns (conversations with very many turns of one number) is not gathered: each of its distinct
-turns is a row, and further copies of it are rows of at most MOST. In order of turns, turn,
-place and copy, the rows of a pair make up its whole texts.
+A turn is known by its rank in its conversation, not by its number: numbers may be times, and differ between the two. places()
+ranks the digests of turns by ranges, so a conversation may be spread over any number of tasks; compared() sets the digests of one rank side by
+side and takes the least rank at which they differ, with partial aggregates. The texts follow: equal ones of a turn are counted and
+joined with their places, and those of the rejected side's half of the prompt are left out. So texts are dealt out
+twice, for the count and to be put together.
+
+paired() gives a row for each pair: prompt and two completions. Where a prompt or completion has more than TURNS turns, the
+row goes on in further parts: part k has the turns from k * TURNS on of the prompt and of both completions. Every part has the
+number of parts and of the prompt's turns.
 
 Defined cases: turns are in order of `turn`, turns of one number in order of the MD5 of role and
-text, each copy being a turn of its own; null roles and texts are equal to each other and
+text, each copy being a turn of its own; a prompt is as long as role and text agree, whatever the numbers; null roles and texts are equal to each other and
 render as empty; turns without number or conversation are left out; a pair one side of which
 is null or has no turns is left out; where one conversation begins the other its completion
 is empty, and where they are alike throughout both are; roles that no template knows
@@ -31,10 +29,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import placed
 from .common import bounded, cut, table
 
-#: Turn numbers that are put together, and turns and copies in a row.
-RANGE, MOST = 256, 1024
+#: Turns of a prompt or completion in one row.
+TURNS = 1024
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -60,50 +59,55 @@ def by_side(pairs: DataFrame) -> DataFrame:
     return pairs.where("chosen_id is not null and rejected_id is not null").select("pair_id", side.alias("_s")).select("_s.conv_id", "pair_id", "_s.side")
 
 
-def compared(turns: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pair_id, first_turn, first_digest, common) for the pairs of which both sides have turns, and the (pair_id, turns) that are too many to gather.
-
-    The two part at the turn `first_turn`, `first_digest` (null: nowhere), which they have `common` copies of in common.
-    """
-    met = own_turns(turns).select("conv_id", "turn", F.unhex("digest").alias("digest")).join(by_side(pairs), "conv_id")
-    both = cut(met.groupBy("pair_id", "turn", "digest").agg(*(F.count_if(F.col("side") == s).alias(s[0]) for s in ("chosen", "rejected"))))
-    place = F.struct("turn", "digest", F.least("c", "r").alias("common"))
-    first = both.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), place)).alias("f"), F.sum("c").alias("_c"), F.sum("r").alias("_r"))
-    first = first.where("_c > 0 and _r > 0").select("pair_id", F.col("f.turn").alias("first_turn"), F.lower(F.hex("f.digest")).alias("first_digest"), F.col("f.common").alias("common"))
-    crowded = both.groupBy("pair_id", F.floor(F.col("turn") / RANGE).alias("turns")).agg(F.sum(F.greatest("c", "r")).alias("_n")).where(F.col("_n") > MOST).select("pair_id", "turns", F.lit(True).alias("_crowded"))
-    return first, crowded
-
-
-def segments(turns: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """(pair_id, part, turn, digest, copies, role, text): the distinct turns of each part (prompt, chosen, rejected) of pairs, with first of compared()."""
-    target = by_side(pairs).join(first, "pair_id")
-    met = own_turns(turns).join(bounded(cut(target)), "conv_id")
-    here, there = F.struct("turn", "digest"), F.struct(F.col("first_turn").alias("turn"), F.col("first_digest").alias("digest"))
-    before = F.col("first_turn").isNull() | (here < there)
-    at = F.coalesce(here == there, F.lit(False))
-    keys = ["pair_id", "side", "first_turn", "first_digest", "common", "turn", "digest", "role", "text"]
-    rows = met.where(~(before & (F.col("side") == "rejected"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    prompt = F.when(F.col("side") == "chosen", F.when(before, F.col("n")).when(at, F.col("common"))).otherwise(0)
-    rest = F.when(before, 0).when(at, F.col("n") - F.col("common")).otherwise(F.col("n"))
-    part = F.explode(F.array(F.struct(F.lit("prompt").alias("part"), prompt.alias("copies")), F.struct(F.col("side").alias("part"), rest.alias("copies"))))
-    return rows.select("pair_id", "turn", "digest", "role", "text", part.alias("_p")).select("pair_id", "_p.part", "turn", "digest", "_p.copies", "role", "text").where("copies > 0")
+def places(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, digest, place, n): the rank of the first copy of each turn in its conversation, from 0, and its copies."""
+    ranked = placed(own_turns(turns).select("conv_id", "turn", F.unhex("digest").alias("digest")), ["conv_id"], [F.col("turn"), F.col("digest")])
+    return ranked.groupBy("conv_id", "turn", "digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+
+
+def compared(sided: DataFrame) -> DataFrame:
+    """(pair_id, common, parts) of sided (pair_id, side, digest, place, n), for the pairs of which both sides have turns: how many turns they have in common, and parts in all."""
+    each = F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place")
+    ranks = sided.select("pair_id", "side", "digest", each)
+    both = ranks.groupBy("pair_id", "place").agg(*(F.max(F.when(F.col("side") == s, F.col("digest"))).alias(s[0]) for s in ("chosen", "rejected")))
+    ends = both.groupBy("pair_id").agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("place"))).alias("_first"), F.count("c").alias("_c"), F.count("r").alias("_r"))
+    common = F.coalesce("_first", "_c")
+    longest = F.greatest(common, F.col("_c") - common, F.col("_r") - common)
+    return ends.where("_c > 0 and _r > 0").select("pair_id", common.alias("common"), F.ceil(longest / TURNS).cast("int").alias("parts"))
+
+
+def segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, parts, common, segment, part, at, n, role, text): the turns of each segment (prompt, chosen, rejected) and part, at so many places behind its beginning, n copies one after the other."""
+    ranked = cut(places(turns))
+    sided = ranked.join(by_side(pairs), "conv_id")
+    ends = cut(compared(sided))
+    run = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("n")).alias("end"))
+    split = F.array(
+        F.struct(F.lit("prompt").alias("segment"), F.lit(0).cast("long").alias("base"), F.col("run.start").alias("start"), F.least("run.end", "common").alias("end")),
+        F.struct(F.col("side").alias("segment"), F.col("common").alias("base"), F.greatest("run.start", "common").alias("start"), F.col("run.end").alias("end")),
+    )
+    own = sided.join(bounded(ends), "pair_id").withColumn("run", run).select("conv_id", "turn", "digest", "pair_id", "parts", "common", "side", F.explode(split).alias("s"))
+    own = own.where("s.start < s.end and not (s.segment = 'prompt' and side = 'rejected')")
+    texts = own_turns(turns).withColumn("digest", F.unhex("digest")).groupBy("conv_id", "turn", "digest").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    met = texts.join(own, ["conv_id", "turn", "digest"])
+    start, end = F.col("s.start") - F.col("s.base"), F.col("s.end") - F.col("s.base")
+    part = F.explode(F.sequence(F.floor(start / TURNS), F.floor((end - 1) / TURNS))).alias("part")
+    each = met.select("pair_id", "parts", "common", F.col("s.segment").alias("segment"), part, start.alias("_start"), end.alias("_end"), "role", "text")
+    at = F.greatest("_start", F.col("part") * TURNS)
+    return each.withColumns({"at": at, "n": (F.least("_end", (F.col("part") + 1) * TURNS) - at).cast("int"), "part": F.col("part").cast("int")}).drop("_start", "_end")
 
 
 def paired(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
-    """(pair_id, turns, turn, place, copy, prompt, chosen, chosen_mask, rejected, rejected_mask) of pairs (pair_id, chosen_id, rejected_id).
+    """(pair_id, part, parts, prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask) of pairs (pair_id, chosen_id, rejected_id).
 
-    The masks are the spans (start, end) of characters of the completion that count. turn and place are null, and copy is 0, where a range is gathered.
+    The masks are the spans (start, end) of characters of the completion that count.
     """
-    first, crowded = compared(turns, pairs)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(template.before), role, F.lit(template.between))
-    learned = (F.col("part") != "prompt") & role.isin(*template.learned)
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / MOST)))
-    rows = segments(turns, pairs, first).withColumns({"turns": F.floor(F.col("turn") / RANGE), "copy": chunk}).withColumn("n", F.least(F.lit(MOST), F.col("copies") - F.col("copy") * MOST).cast("int"))
-    rows = rows.join(bounded(cut(crowded)), ["pair_id", "turns"], "left").withColumn("_crowded", F.coalesce("_crowded", F.lit(False)))
-    piece = F.struct("turn", "digest", "n", head.alias("head"), F.concat(text, F.lit(template.after)).alias("body"), learned.alias("learned"))
-    own = rows.select("pair_id", "turns", F.when(F.col("_crowded"), F.col("turn")).alias("turn"), F.when(F.col("_crowded"), F.col("digest")).alias("place"), "copy", "part", piece.alias("p"))
-    found = own.groupBy("pair_id", "turns", "turn", "place", "copy").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == s, F.col("p")))).alias(s) for s in ("prompt", "chosen", "rejected")))
+    learned = (F.col("segment") != "prompt") & role.isin(*template.learned)
+    piece = F.struct("at", "n", head.alias("head"), F.concat(text, F.lit(template.after)).alias("body"), learned.alias("learned"))
+    own = segments(turns, pairs).select("pair_id", "part", "parts", "common", "segment", piece.alias("p"))
+    found = own.groupBy("pair_id", "part", "parts", "common").agg(*(F.array_sort(F.collect_list(F.when(F.col("segment") == s, F.col("p")))).alias(s) for s in ("prompt", "chosen", "rejected")))
 
     def whole(part: str) -> Column:
         return F.array_join(F.transform(part, lambda p: F.repeat(F.concat(p["head"], p["body"]), p["n"])), "")
@@ -120,7 +124,7 @@ def paired(turns: DataFrame, pairs: DataFrame, template: Template = Template())
         return F.aggregate(each, start, step, lambda a: a["out"])
 
     shown = [whole("prompt").alias("prompt"), *(c for s in ("chosen", "rejected") for c in (whole(s).alias(s), spans(s).alias(f"{s}_mask")))]
-    return found.select("pair_id", "turns", "turn", "place", "copy", *shown)
+    return found.select("pair_id", "part", "parts", F.col("common").alias("prompt_turns"), *shown)
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
@@ -137,29 +141,28 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(masks)
 
 
-#: DuckDB SQL for op3_preference_pairs, for tables without crowded ranges; a mask is its spans as text.
+#: DuckDB SQL for op3_preference_pairs; a mask is its spans as text.
 SQL = f"""
 with t as (
-    select conv_id, turn, role, text, md5(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')) as d,
-        (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair_id, (conv_id % 2 + 2) % 2 as side
+    select conv_id, role, text, md5(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')) as d, (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair_id, (conv_id % 2 + 2) % 2 as side,
+        row_number() over (partition by conv_id order by turn, d) - 1 as place
     from conversations where conv_id is not null and turn is not null
-), m as (select pair_id, turn, d, count(*) filter (side = 0) as c, count(*) filter (side = 1) as r from t group by all),
-f as (select pair_id, min((turn, d)) filter (c <> r) as first, arg_min(least(c, r), (turn, d)) filter (c <> r) as common from m group by pair_id having sum(c) > 0 and sum(r) > 0),
-n as (select t.*, f.first, f.common, row_number() over (partition by conv_id, turn, d) as n from t join f using (pair_id)),
+), sides as (select pair_id, place, max(d) filter (side = 0) as c, max(d) filter (side = 1) as r from t group by all),
+ends as (select pair_id, coalesce(min(place) filter (c is distinct from r), count(c)) as common, count(c) as nc, count(r) as nr from sides group by pair_id having count(c) > 0 and count(r) > 0),
 p as (
-    select *, case when first is null or (turn, d) < first or ((turn, d) = first and n <= common) then 'prompt' when side = 0 then 'chosen' else 'rejected' end as part,
-        '<|im_start|>' || coalesce(role, '') || chr(10) as head, coalesce(text, '') || '<|im_end|>' || chr(10) as body
-    from n
+    select t.*, common, ceil(greatest(common, nc - common, nr - common) / {TURNS})::int as parts, case when place < common then 'prompt' when side = 0 then 'chosen' else 'rejected' end as segment,
+        place - case when place < common then 0 else common end as k, '<|im_start|>' || coalesce(role, '') || chr(10) as head, coalesce(text, '') || '<|im_end|>' || chr(10) as body
+    from t join ends using (pair_id)
 ), s as (
-    select *, cast(floor(turn / {RANGE}.0) as bigint) as turns, part <> 'prompt' and coalesce(role, '') = 'assistant' as learned,
-        sum(length(head) + length(body)) over (partition by pair_id, part, cast(floor(turn / {RANGE}.0) as bigint), side order by turn, d, n) as stop
-    from p where not (part = 'prompt' and side = 1)
+    select *, (k // {TURNS})::int as part, segment <> 'prompt' and coalesce(role, '') = 'assistant' as learned,
+        sum(length(head) + length(body)) over (partition by pair_id, segment, side, k // {TURNS} order by k) as stop
+    from p where not (segment = 'prompt' and side = 1)
 )
-select pair_id, turns, cast(null as bigint) as turn, cast(null as varchar) as place, cast(0 as bigint) as copy,
-    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'prompt'), '') as prompt,
-    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'chosen'), '') as chosen,
-    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by turn, d, n) filter (part = 'chosen' and learned), '') as chosen_mask,
-    coalesce(string_agg(head || body, '' order by turn, d, n) filter (part = 'rejected'), '') as rejected,
-    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by turn, d, n) filter (part = 'rejected' and learned), '') as rejected_mask
-from s group by pair_id, turns
+select pair_id, part, parts, common as prompt_turns,
+    coalesce(string_agg(head || body, '' order by k) filter (segment = 'prompt'), '') as prompt,
+    coalesce(string_agg(head || body, '' order by k) filter (segment = 'chosen'), '') as chosen,
+    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by k) filter (segment = 'chosen' and learned), '') as chosen_mask,
+    coalesce(string_agg(head || body, '' order by k) filter (segment = 'rejected'), '') as rejected,
+    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by k) filter (segment = 'rejected' and learned), '') as rejected_mask
+from s group by pair_id, part, parts, common
 """

@@ -41,23 +41,27 @@ def test_pairs(spark):
     assert got[13].prompt == a.prompt and got[13].rejected == "" and got[13].chosen == a.chosen
 
 
-@pytest.mark.parametrize("most", [3, 1024])
-def test_crowded_ranges_are_not_gathered(spark, monkeypatch, most):
-    """In order, the rows of a pair make up the same texts whether its ranges are gathered or not."""
-    monkeypatch.setattr(P, "MOST", most)
-    turns = [(c, t, "assistant", f"{x}") for c in (1, 2) for t in (0, 1) for x in range(4)] + [(1, 1, "assistant", "2")] * 7 + [(2, 1, "assistant", "2")] * 5 + [(2, 1, "user", "z")]
-    df = spark.createDataFrame(turns, TURNS)
-    out = P.paired(df, spark.createDataFrame([(5, 1, 2)], "pair_id long, chosen_id long, rejected_id long")).collect()
-    assert (len(out) > 8) == (most == 3)
-    key = {t: i for i, t in enumerate(sorted((r.turn, r.digest, r.role, r.text) for r in P.own_turns(df).distinct().collect()))}
-    sides = [[], []]
-    for r in P.own_turns(df).collect():
-        sides[r.conv_id - 1].append((r.turn, r.digest, r.role, r.text))
-    a, b = (sorted(s, key=key.get) for s in sides)
-    n = next(i for i in range(len(a)) if a[i] != b[i])
-    render = lambda ts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for *_, r, t in ts)
-    whole = ["".join(r[c] for r in sorted(out, key=lambda r: (r.turns, -1 if r.turn is None else r.turn, r.place or "", r.copy))) for c in ("prompt", "chosen", "rejected")]
-    assert whole == [render(a[:n]), render(a[n:]), render(b[n:])]
-    for r in out:
-        for s in ("chosen", "rejected"):
-            assert all(r[s][m.start : m.end].endswith("<|im_end|>\n") and r[s][: m.start].endswith("assistant\n") for m in r[f"{s}_mask"]) and len(r[f"{s}_mask"]) == r[s].count("assistant")
+def test_long_conversations_go_on_in_parts(spark, small):
+    """Runs of copies over the edges of parts, and a completion much longer than the other."""
+    n = P.TURNS
+    rows = [(0, t, "user", f"{t}") for t in range(n + 5)] + [(1, t, "user", f"{t}") for t in range(n + 3)] + [(1, n + 3, "assistant", "again")] * (n + 7) + [(0, n + 5, "assistant", "x")]
+    where = small(conversations=(rows, TURNS))
+    columns, want = rows_of(where)
+    got = P.op3_preference_pairs(spark, where)
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == want
+    assert [(r.part, r.parts, r.prompt_turns, bool(r.prompt), bool(r.chosen), bool(r.rejected)) for r in got.orderBy("part").collect()] == [(0, 2, n + 3, True, True, True), (1, 2, n + 3, True, False, True)]
+
+
+@pytest.mark.parametrize("number", [lambda c, t: 250 + t, lambda c, t: 1_700_000_000 + 3600 * t + 7 * c])
+def test_one_prompt_and_two_completions_whatever_the_numbers(spark, number):
+    """Turns numbered over round numbers, or by times that differ between the two."""
+    rows = [(c, number(c, t), "assistant" if t % 2 else "user", f"turn {t}" + (f" of {c}" if t >= 9 else "")) for c in (4, 5) for t in range(12)]
+    got = P.paired(spark.createDataFrame(rows, TURNS), spark.createDataFrame([(2, 4, 5)], "pair_id long, chosen_id long, rejected_id long")).collect()
+    assert len(got) == 1 and got[0].prompt_turns == 9 and got[0].prompt.count("<|im_start|>") == 9
+    assert got[0].chosen.count("of 4") == got[0].rejected.count("of 5") == 3 and len(got[0].chosen_mask) == 2
+
+
+def test_three_hundred_turns_are_one_row(spark):
+    rows = [(c, t, "assistant", f"{t if t < 290 else c}") for c in (4, 5) for t in range(300)]
+    got = P.paired(spark.createDataFrame(rows, TURNS), spark.createDataFrame([(2, 4, 5)], "pair_id long, chosen_id long, rejected_id long")).collect()
+    assert [(r.part, r.parts, r.prompt_turns, r.chosen.count("assistant"), len(r.rejected_mask)) for r in got] == [(0, 1, 290, 10, 10)]
