@@ -5,10 +5,13 @@ other, all comments or none, without an empty one between), the comment that it
 first OPENING words, and the whole. Each part is a sparse vector of its words and word pairs,
 compared with those of the templates: notices, and short licences or the openings of long
 ones. A word weighs its inverse document frequency, a pair PAIR times that of its rarer word, and
-both weigh less the more licences share them, so the words that tell versions and
-variants apart decide between them. A part states the licence of its most similar template if the
-cosine is THRESHOLD or more and exceeds that of any other licence by MARGIN; a file's own licence
-is that of its most similar part.
+both weigh less the more licences share them. A part whose most similar template has a cosine of THRESHOLD or more states a
+licence; a file's own licence is that of its most similar part.
+
+Which of several similar licences it is does not depend on the corpus. Those within NEAR of the largest cosine are compared by what
+tells their templates apart: the share that the part has of the words and pairs which one template has and the other has
+not. A licence is stated if it beats all others so; and if the part does not name another version of it, as "version 1" where
+all of its template says "version 2". An identifier after SPDX-License-Identifier is read as it is, with its operators, and goes first.
 
 Document frequencies of the templates' words are counted over all documents by built-in
 functions; a word or pair that no template has weighs as a word that a single document has, each
@@ -42,13 +45,18 @@ from .common import bounded, cut, table, text_steps
 from .decontaminate import words
 
 THRESHOLD = 0.6
-MARGIN = 0.03
+#: How far below the largest cosine other licences are compared word by word.
+NEAR = 0.25
 PAIR = 0.7
 #: Words of the beginning that are compared as a part of their own.
 OPENING = (60, 120)
 #: The least share of its weight that a word keeps, however many licences share it.
 SHARED = 0.3
 
+#: Fixed value: how files state a licence by its identifier.
+_SPDX = re.compile(rb"SPDX-License-Identifier:\s*(\(?\s*[A-Za-z0-9][\w.+-]*(?:\s*\)?\s+(?:OR|AND|WITH|or|and|with)\s+\(?\s*[A-Za-z0-9][\w.+-]*)*\s*\)?)")
+#: Words after which a number is a version.
+_VERSIONED = (b"version", b"v", b"license", b"licence", b"public", b"sa", b"by", b"nc", b"nd", b"sharealike", b"attribution", b"noncommercial", b"noderivatives", b"mpl", b"epl", b"gpl", b"lgpl")
 _COMMENT = re.compile(rb"\s*(#|//|/\*|\*|--|;|%|<!--|\.\.|rem\b|dnl\b)", re.IGNORECASE)
 
 _FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
@@ -108,16 +116,30 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("BSD-4-Clause", f"{_BSD} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. {_BSD_NAME[3:]} {_BSD_END}"),
+    ("BSD-4-Clause", f"BSD 4-Clause License {_BSD} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. {_BSD_NAME[3:]}"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 1.0 which is available at https://www.eclipse.org/legal/epl-1.0/"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission - subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an AS IS basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License."),
 )
 
 
+#: Versions of the licences of works before 4.0.
+OLDER = ("2.0", "2.5", "3.0")
+
+
 def tagged(templates: tuple) -> tuple:
-    """The templates, and for each licence the lines that name it by its identifier."""
-    names = sorted({n for n, _ in templates})
-    lines = [(n, f"SPDX-License-Identifier: {n}{x}") for n in names for x in (("", "-only", "-or-later") if "GPL" in n else ("",))]
-    short = [(n, f"Licensed under {n.replace('-', ' ', 1) if n.startswith('CC-') else n.replace('-', ' ')}.".replace("CC BY-4.0", "CC BY 4.0")) for n in names]
+    """The templates, those of free software with the paragraph on warranty, those of works in older versions, and lines that name a licence in short."""
+    hopeful = [(n, f"{t} This {t.split()[1]} {_HOPE} See the GNU {'Lesser ' if n[0] == 'L' else 'Affero ' if n[0] == 'A' else ''}General Public License for more details.") for n, t in templates if "GPL-" in n and t.startswith(("This program is free", "This library is free"))]
+    older = [(n.replace("4.0", v), t.replace("4.0 International", f"{v} {kind}")) for n, t in templates if n.startswith("CC-BY") and t.startswith("This work") for v in OLDER for kind in ("Unported", "Generic" if v < "3" else "International")]
+    found = [*templates, *hopeful, *older]
+    names = sorted({n for n, _ in found})
+    short = [(n, f"Licensed under {n.replace('-', ' ')}.") for n in names if not n.startswith("CC-")]
     creative = [(n, f"Licensed under CC {n[3:-4]} {n[-3:]}.") for n in names if n.startswith("CC-")]
-    return (*templates, *lines, *(x for x in short if not x[0].startswith("CC-")), *creative)
+    return (*found, *short, *creative)
 
 
 ALL = tagged(TEMPLATES)
@@ -130,6 +152,8 @@ class Vocabulary:
         self.names = np.array([n for n, _ in templates])
         self.ids: dict[bytes, int] = {}  # words, from 1
         rows = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(t.encode())]) for _, t in templates]
+        for w in [*_VERSIONED, *(str(k).encode() for k in range(21))]:
+            self.ids.setdefault(w, len(self.ids) + 1)
         self.n = len(self.ids) + 1
         self.pairs = np.unique(np.concatenate([r[:-1] * self.n + r[1:] for r in rows]))  # their ids go on from n
         self.counts = np.zeros((self.n + len(self.pairs), len(rows)), np.float32)
@@ -137,8 +161,46 @@ class Vocabulary:
             np.add.at(self.counts[:, k], np.r_[r, self.n + np.searchsorted(self.pairs, r[:-1] * self.n + r[1:])], 1)
         names = sorted(set(self.names))
         having = np.stack([(self.counts[:, self.names == n] > 0).any(1) for n in names], 1).sum(1)
+        #: By template the words and pairs that it has, and by versioned word the number words that follow it.
+        self.having = [frozenset(np.nonzero(self.counts[:, k])[0].tolist()) for k in range(len(rows))]
+        self.numbers = {self.ids[str(k).encode()] for k in range(21)}
+        self.versioned = {self.ids[w] for w in _VERSIONED}
+        self.versions = [self.versions_in(r.tolist()) for r in rows]
         self.telling = SHARED + (1 - SHARED) * np.log((1 + len(names)) / (1 + np.maximum(having, 1))) / np.log((1 + len(names)) / 2)
 
+    def versions_in(self, run: list[int]) -> dict[int, set[int]]:
+        """The numbers that follow each versioned word."""
+        out: dict[int, set[int]] = {}
+        for a, b in zip(run, run[1:], strict=False):
+            if a in self.versioned and b in self.numbers:
+                out.setdefault(a, set()).add(b)
+        return out
+
+    def features(self, run: np.ndarray) -> set[int]:
+        """The words and pairs of templates in a run of word ids."""
+        code = run[:-1] * self.n + run[1:]
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return {*run[run > 0].tolist(), *(self.n + at[(self.pairs[at] == code) & (run[:-1] > 0)]).tolist()}
+
+    def decide(self, run: np.ndarray, cos: np.ndarray) -> int:
+        """The template whose licence a run states, of those near the largest cosine; -1 if none beats all others, or the run names another version."""
+        near = np.nonzero(cos >= cos.max() - NEAR)[0]
+        best: dict[str, int] = {}
+        for k in near[np.argsort(-cos[near], kind="stable")].tolist():
+            best.setdefault(str(self.names[k]), k)
+        own = self.features(run)
+
+        def share(a: int, b: int) -> float:
+            only = self.having[a] - self.having[b]
+            return len(only & own) / len(only) if only else 0.5
+
+        won = [a for a in best.values() if all(share(a, b) > share(b, a) for b in best.values() if b != a)]
+        if not won:
+            return -1
+        said = self.versions_in(run.tolist())
+        other = any(w in said and not said[w] & numbers for w, numbers in self.versions[won[0]].items())
+        return -1 if other else won[0]
+
     def tokens(self, text: bytes | None) -> list[int]:
         get = self.ids.get
         return [get(x, 0) for x in words(text)]
@@ -148,11 +210,12 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
     """Number of documents, and for each word of the templates the number that have it."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     own = F.array_intersect(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.array(*(F.lit(w.decode()) for w in vocabulary.ids)))
-    rows = docs.select(F.explode(own).alias("w")).groupBy("w").count().collect()  # a row for each word of the templates
+    each = F.explode(F.array_append(F.coalesce(own, F.array().cast("array<string>")), F.lit(""))).alias("w")  # the empty word stands for the document
+    found = {r.w: r["count"] for r in docs.select(each).groupBy("w").count().collect()}  # a row for each word of the templates
     out = np.zeros(vocabulary.n, np.int64)
-    for r in rows:
-        out[vocabulary.ids[r.w.encode()]] = r["count"]
-    return docs.count(), out
+    for w, k in vocabulary.ids.items():
+        out[k] = found.get(w.decode(), 0)
+    return found.get("", 0), out
 
 
 def weights(v: Vocabulary, n: int, df: np.ndarray) -> np.ndarray:
@@ -190,11 +253,11 @@ def cosines(v: Vocabulary, weight: np.ndarray, runs: list[np.ndarray], threshold
         t /= np.linalg.norm(t, axis=0)
         starts = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0]
         cos = np.add.reduceat(w[:, None] * t[word], starts, axis=0) / np.sqrt(length[of[starts]])[:, None]
-        k = cos.argmax(1)
-        c = cos[np.arange(len(k)), k]
-        rival = np.where(v.names[None, :] == v.names[k][:, None], 0, cos).max(1)
-        ok = (c >= threshold) & (c - rival >= MARGIN)
-        best[of[starts[ok]]], score[of[starts[ok]]] = k[ok], c[ok]
+        for i in np.nonzero(cos.max(1) >= threshold)[0].tolist():
+            r = of[starts[i]]
+            k = v.decide(runs[r], cos[i])
+            if k >= 0 and cos[i, k] >= threshold:
+                best[r], score[r] = k, cos[i, k]
     return best, score
 
 
@@ -224,6 +287,20 @@ def parts(v: Vocabulary, text: bytes | None) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in out if x]
 
 
+def identified(text: bytes | None) -> str | None:
+    """The first licence that a text states by identifier; -only, -or-later and + are left out, and so are brackets around all of it."""
+    found = _SPDX.search(text) if text else None
+    if found is None:
+        return None
+    tokens = re.findall(r"[()]|[^\s()]+", found[1].decode("ascii"))
+    tokens = [t.upper() if t.upper() in ("OR", "AND", "WITH") else re.sub(r"(-only|-or-later|\+)$", "", t) for t in tokens]
+    if tokens.count("(") != tokens.count(")"):
+        tokens = [t for t in tokens if t not in "()"]
+    elif tokens[0] == "(" and tokens[-1] == ")" and tokens.count("(") == 1:
+        tokens = tokens[1:-1]
+    return " ".join(tokens).replace("( ", "(").replace(" )", ")")
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=ALL) -> DataFrame:
     """files (doc_id, path, text) as (doc_id, path, own_license, own_score)."""
     v = Vocabulary(templates)
@@ -232,14 +309,16 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=ALL)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, weight = sent.value
         for b in (s for batch in batches for s in text_steps(batch, "t")):
-            runs = [parts(v, t) for t in b.column("t").to_pylist()]
+            texts = b.column("t").to_pylist()
+            stated = [identified(t) for t in texts]
+            runs = [parts(v, t) if i is None else [] for i, t in zip(stated, texts, strict=True)]
             edge = np.r_[0, np.cumsum([len(x) for x in runs])]
             best, score = cosines(v, weight, [x for y in runs for x in y], threshold)
             names, scores = [], []
-            for start, stop in zip(edge, edge[1:], strict=False):
+            for start, stop, by_name in zip(edge, edge[1:], stated, strict=False):
                 c, t = max(((float(score[k]), -int(best[k])) for k in np.nonzero(best[start:stop] >= 0)[0] + start), default=(0.0, None))
-                names.append(None if t is None else str(v.names[-t]))
-                scores.append(min(1.0, c))
+                names.append(by_name if by_name else None if t is None else str(v.names[-t]))
+                scores.append(1.0 if by_name else min(1.0, c))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "path", "own_license", "own_score"])
 
     return files.select("doc_id", "path", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, path string, own_license string, own_score double")

@@ -3,6 +3,9 @@ import re
 import textwrap
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from quirespark.llm import licenses as L
 
 from .conftest import DOCUMENTS
@@ -45,33 +48,56 @@ def plain_parts(text):
     return [*(ws for ws, _ in lines), *(sum(b, []) for b in blocks), sum((ws for ws, _ in lines[:code]), []), *(whole[:n] for n in L.OPENING), whole]
 
 
+def versions(ws):
+    out = {}
+    for a, b in zip(ws, ws[1:], strict=False):
+        if a.encode() in L._VERSIONED and b in map(str, range(21)):
+            out.setdefault(a, set()).add(b)
+    return out
+
+
 def plain(texts, threshold=L.THRESHOLD):
     templates = [(n, split(t)) for n, t in L.ALL]
-    known = {x for _, ws in templates for x in [*ws, *zip(ws, ws[1:], strict=False)]}
-    sharing = {x: len({n for n, ws in templates if x in {*ws, *zip(ws, ws[1:], strict=False)}}) for x in known}
+    having = [{*ws, *zip(ws, ws[1:], strict=False)} for _, ws in templates]
+    known = {x for h in having for x in h} | {w.decode() for w in L._VERSIONED} | {str(k) for k in range(21)}
+    sharing = {x: max(1, len({n for (n, _), h in zip(templates, having, strict=True) if x in h})) for x in known}
     df = Counter(w for t in texts for w in set(split(t)) & known)
     rare, licences = math.log((1 + len(texts)) / 2) + 1, len({n for n, _ in templates})
     idf = {w: math.log((1 + len(texts)) / (1 + df[w])) + 1 for w in known if isinstance(w, str)}
     telling = {x: L.SHARED + (1 - L.SHARED) * math.log((1 + licences) / (1 + k)) / math.log((1 + licences) / 2) for x, k in sharing.items()}
     weight = {x: (idf[x] if isinstance(x, str) else L.PAIR * max(idf[x[0]], idf[x[1]])) * telling[x] for x in known}
     vectors = []
-    for name, ws in templates:
+    for _, ws in templates:
         c = {x: n * weight[x] for x, n in features(ws, known)[0].items()}
         norm = math.sqrt(sum(x * x for x in c.values()))
-        vectors.append((name, {x: y / norm for x, y in c.items()}))
+        vectors.append({x: y / norm for x, y in c.items()})
     out = []
     for t in texts:
         best = (0.0, None)
+        named = re.search(r"SPDX-License-Identifier: *([\w.-]+)", t or "")
+        if named:
+            out.append((1.0, re.sub("-only|-or-later", "", named[1])))
+            continue
         for part in plain_parts(t):
             c, words, pairs = features(part, known)
             mine = {x: n * weight[x] for x, n in c.items()}
             norm = math.sqrt(sum(x * x for x in mine.values()) + words * rare**2 + pairs * (L.PAIR * rare) ** 2)
-            by = {}
-            for name, v in vectors:
-                by[name] = max(by.get(name, 0), sum(x * v.get(w, 0) for w, x in mine.items()) / norm if norm else 0)
-            (second, _), (cos, name) = sorted((x, n) for n, x in by.items())[-2:]
-            if cos >= threshold and cos - second >= L.MARGIN and cos > best[0] + 1e-9:
-                best = (cos, name)
+            cos = [sum(x * v.get(w, 0) for w, x in mine.items()) / norm if norm else 0 for v in vectors]
+            if max(cos) < threshold:
+                continue
+            near = {}
+            for k in sorted(range(len(cos)), key=lambda k: -cos[k]):
+                if cos[k] >= max(cos) - L.NEAR:
+                    near.setdefault(templates[k][0], k)
+
+            def share(x, y):
+                only = having[x] - having[y]
+                return len(only & c.keys()) / len(only) if only else 0.5
+
+            won = [x for x in near.values() if all(share(x, y) > share(y, x) for y in near.values() if x != y)]
+            said = versions(part)
+            if won and cos[won[0]] >= threshold and not any(w in said and not said[w] & n for w, n in versions(templates[won[0]][1]).items()) and cos[won[0]] > best[0] + 1e-9:
+                best = (cos[won[0]], templates[won[0]][0])
         out.append(best)
     return out
 
@@ -131,6 +157,46 @@ FOUND = [
 ]
 
 
+BSD4 = max((t for n, t in L.TEMPLATES if n == "BSD-4-Clause"), key=len)
+MPL1 = 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {0} which is available at https://www.eclipse.org/legal/epl-{0}/"
+FOUND += [
+    ("GPL-2.0", fsf(GPL, "2") + " " + HOPE + CODE),
+    ("GPL-3.0", fsf(GPL, "3", end=":") + " " + HOPE),
+    ("GPL-2.0", wrapped(fsf(GPL, "2")) + CODE),
+    ("GPL-3.0", wrapped(fsf(GPL, "3", end=":")) + CODE),
+    ("BSD-4-Clause", BSD4),
+    ("EPL-1.0", EPL.format("1.0")),
+    ("EPL-2.0", EPL.format("2.0")),
+    (None, EPL.format("3.0")),
+    ("MPL-1.1", wrapped(MPL1)),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("LGPL-2.0", "# SPDX-License-Identifier: LGPL-2.0-only"),
+    ("BSD-3-Clause-Clear", "// SPDX-License-Identifier: BSD-3-Clause-Clear\nx"),
+    ("MIT OR Apache-2.0", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("EUPL-1.2", "SPDX-License-Identifier: EUPL-1.2"),
+    ("GPL-2.0 WITH Linux-syscall-note", "/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */"),
+    ("(MIT OR GPL-2.0) AND ISC", "SPDX-License-Identifier: (MIT OR GPL-2.0-or-later) AND ISC"),
+    (None, "Licensed under the Apache License, Version 1.1."),
+]
+
+
+@pytest.mark.parametrize("n, factor", [(30, 0), (10_000, 1), (10_000_000, 1000)])
+def test_a_licence_does_not_depend_on_the_corpus(n, factor):
+    """Each notice as the only one among n documents, whatever the frequencies of its words there."""
+    v = L.Vocabulary()
+    rng = np.random.default_rng(0)
+    common = np.array([0, *(int(rng.integers(0, 9000 if len(w) < 5 else 40)) for w in v.ids)]) * factor
+    for df in (common, np.zeros(v.n, np.int64)):
+        for name, text in FOUND:
+            raw = text.encode()
+            runs = L.parts(v, raw)
+            best, score = L.cosines(v, L.weights(v, n, df + 1), runs, L.THRESHOLD)
+            k = max(range(len(runs)), key=lambda i: (score[i] if best[i] >= 0 else 0, -best[i]))
+            assert (L.identified(raw) or (str(v.names[best[k]]) if best[k] >= 0 else None)) == name, text[:80]
+
+
 def test_the_right_licence_or_none(spark):
     prose = [(1000 + i, f"{i}", "the cat of a house is in the tree and by the river for it or to this with that " * 3) for i in range(200)]
     rows = [(i, f"{i}", t) for i, (_, t) in enumerate(FOUND)] + prose
