@@ -14,7 +14,13 @@ sample is kept from training, and everything about certainty is fitted on it:
   limit lies below the held-back texts and above the same texts as they look to a model
   that never saw their language (each language left out in turn).
 
-The score is the probability of the language times that of a familiar text. A prediction is
+Text from elsewhere has other subwords than the sample, in the languages it knows too. So a text that is not familiar is judged by the words
+that its language uses everywhere: those with a share of COMMON or more of the language's words, in NEEDED of its texts or more. If the
+language is the one predicted they occur at the rate they have in the sample, else at the rate that relatives have, which is
+taken to be CARRY of it (and half of what another known language has), and in a long text CLOSE of it at most. The two likelihood ratios, and
+FOREIGN_LETTER for each letter beyond ASCII that the language does not use, give the probability that the text is in it.
+
+The score is the probability of the language times that of a text in it, the larger of the two. A prediction is
 rejected if its score is below CERTAIN, so foreign languages, noise and code go, not
 only texts without letters.
 
@@ -32,6 +38,8 @@ string, which is not held out; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -61,6 +69,10 @@ TEMPERATURES = np.geomspace(1e-3, 1e3, 121)
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: The limit of familiarity lies BELOW standard deviations under all but KNOWN of the held-back texts, but not beyond halfway to FOREIGN of those of left-out languages (the others may be mislabelled).
 KNOWN, FOREIGN, BELOW = 0.002, 0.75, 0.5
+#: Shares of a language's words and of its texts that make a word common, and of its texts that make a letter its own.
+COMMON, NEEDED, LETTER = 0.0025, 0.03, 0.05
+#: Rates of common words in other languages, as parts of their rate; what the second ratio is granted; the log odds of a foreign letter.
+CARRY, CLOSE, GRANTED, FOREIGN_LETTER = 0.2, 0.45, 2.5, -3.0
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
 
@@ -108,6 +120,10 @@ class Model:
     spread: tuple[float, float] = (1.0, 1.0)
     limit: float = -math.inf
     slope: float = 1.0
+    #: By common word of any language and by language, what it adds to both log likelihood ratios; what any word does; the languages' letters.
+    common: dict[str, np.ndarray] = field(default_factory=dict)
+    missed: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    letters: list[frozenset[str]] = field(default_factory=list)
 
     def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The means of `rows` over the subwords of each text, and the number of subwords (0: no letter)."""
@@ -126,6 +142,18 @@ class Model:
         """Standard deviations from what is usual for the language of each text."""
         return (mean[:, -1] - self.usual[language]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(n, 1))
 
+    def evidence(self, text: str, language: int) -> float:
+        """Log odds, by its common words and its letters, that a text is in a language."""
+        low = text.lower()
+        found = WORD.findall(low)
+        ratios = len(found) * self.missed[language]
+        for w in found:
+            own = self.common.get(w)
+            if own is not None:
+                ratios = ratios + own[language]
+        odd = 0 if low.isascii() else sum(c.isalpha() and not c.isascii() and c not in self.letters[language] for c in low)
+        return float(min(ratios[0], ratios[1] + GRANTED)) + FOREIGN_LETTER * odd
+
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language (-1: unknown) and the score."""
         if not self.languages:
@@ -134,7 +162,10 @@ class Model:
         p = softmax(self.logits(mean) * (np.maximum(n, 1) ** self.power / self.temperature)[:, None])
         best = p.argmax(1)
         known = 1 / (1 + np.exp(-np.clip(self.slope * (self.familiarity(mean, n, best) - self.limit), -30, 30)))
-        return np.where(n > 0, best, -1), np.where(n > 0, p[np.arange(len(p)), best] * known, 0.0)
+        own = p[np.arange(len(p)), best]
+        for i in np.nonzero((n > 0) & (own * known < CERTAIN) & (own >= CERTAIN))[0].tolist():
+            known[i] = max(known[i], 1 / (1 + math.exp(-min(30.0, max(-30.0, self.evidence(texts[i], int(best[i])))))))
+        return np.where(n > 0, best, -1), np.where(n > 0, own * known, 0.0)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -150,6 +181,34 @@ def frequencies(feats: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray,
     return np.log(total / total.sum(0))
 
 
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def common_words(model: Model, sample: list[tuple[str, str]]) -> None:
+    """Counts the common words and the letters of each language."""
+    n = len(model.languages)
+    words, texts, letters = [Counter() for _ in range(n)], [Counter() for _ in range(n)], [Counter() for _ in range(n)]
+    many = [0] * n
+    for t, y in sample:
+        k = model.languages.index(y)
+        own = Counter(WORD.findall(t.lower()))
+        words[k].update(own)
+        texts[k].update(own.keys())
+        letters[k].update(c for c in set(t.lower()) if not c.isascii())
+        many[k] += 1
+    share = [{w: c / sum(words[k].values()) for w, c in words[k].items() if c >= COMMON * sum(words[k].values()) and texts[k][w] >= NEEDED * many[k]} for k in range(n)]
+    model.missed = np.zeros((n, 2))
+    for k in range(n):
+        chance = {w: (min(f, max(CARRY * f, *(0.5 * share[j].get(w, 0.0) for j in range(n) if j != k), 0.0)), CLOSE * f) for w, f in share[k].items()}
+        left = 1 - min(0.99, sum(share[k].values()))
+        for i in range(2):
+            model.missed[k, i] = math.log(left / (1 - min(0.99, sum(c[i] for c in chance.values()))))
+        for w, f in share[k].items():
+            own = model.common.setdefault(w, np.zeros((n, 2)))
+            own[k] = [math.log(f / c) for c in chance[w]] - model.missed[k]
+    model.letters = [frozenset(c for c, m in letters[k].items() if m >= LETTER * many[k]) for k in range(n)]
+
+
 def train(sample: list[tuple[str, str]]) -> Model:
     """A model of a sample of (text, language)."""
     sample = [(t, y) for t, y in sample if any(map(str.isalpha, t))]
@@ -169,6 +228,7 @@ def train(sample: list[tuple[str, str]]) -> Model:
     body = emb @ w.T if len(model.languages) <= DIM else emb
     model.head = None if len(model.languages) <= DIM else w
     model.rows, model.bias = np.c_[body, log.max(1)].astype(np.float32), bias.astype(float)
+    common_words(model, sample)
     certainty(model, [sample[i][0] for i in check], y[check], rng)
     left_out(model, [feats[i] for i in check], y[check], log)
     return model

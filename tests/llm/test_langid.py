@@ -72,7 +72,57 @@ def test_scores_equal_brute_force():
         z = (rows[:, :-1].mean(0) + model.bias) * len(rows) ** model.power / model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         far = (rows[:, -1].mean() - model.usual[k]) / np.sqrt(model.spread[0] + model.spread[1] / len(rows))
-        assert k == p.argmax() and abs(s - p[k] / (1 + np.exp(-model.slope * (far - model.limit)))) < 1e-5
+        known = 1 / (1 + np.exp(-model.slope * (far - model.limit)))
+        if p[k] * known < langid.CERTAIN <= p[k]:
+            known = max(known, 1 / (1 + np.exp(-model.evidence(t, int(k)))))
+        assert k == p.argmax() and abs(s - p[k] * known) < 1e-5
+
+
+def test_evidence_of_words_is_its_definition():
+    sample = [("the cat the hat of", "en"), ("of the mat on the mat", "en"), ("die katze und der hut", "de"), ("der hund die maus ö", "de")]
+    model = langid.train(sample * 20)
+    texts = {"en": ["the cat the hat of", "of the mat on the mat"], "de": ["die katze und der hut", "der hund die maus ö"]}
+    share = {k: {w: " ".join(t).split().count(w) / len(" ".join(t).split()) for w in set(" ".join(t).split())} for k, t in texts.items()}
+    for text in ("the dog of der hut", "ö the", "xyz", "the cat çé"):
+        for k, y in enumerate(("de", "en")):
+            other = share["en" if y == "de" else "de"]
+            chance = {w: [max(langid.CARRY * f, 0.5 * other.get(w, 0)), langid.CLOSE * f] for w, f in share[y].items()}
+            ratios = []
+            for i in (0, 1):
+                miss = (1 - min(0.99, sum(share[y].values()))) / (1 - min(0.99, sum(c[i] for c in chance.values())))
+                ratios.append(sum(np.log(share[y][w] / chance[w][i]) if w in share[y] else np.log(miss) for w in text.split()))
+            odd = sum(c not in ("ö" if y == "de" else "") for c in text if not c.isascii())
+            assert abs(model.evidence(text, k) - (min(ratios[0], ratios[1] + langid.GRANTED) + langid.FOREIGN_LETTER * odd)) < 1e-6
+
+
+KNOWN = {
+    "en": ["All human beings are born free and equal in dignity and rights.", "The weather was nice yesterday so we went for a walk in the park.", "Please send the report to the office by Friday morning.", "It is not easy to find a good place to eat in this town.", "The train was late because of the snow on the line.", "She said that it was the best day of the year for all of them."],
+    "de": ["Alle Menschen sind frei und gleich an Würde und Rechten geboren.", "Das Wetter war gestern schön und wir sind im Park spazieren gegangen.", "Bitte schicken Sie den Bericht bis Freitag in das Büro.", "Es ist nicht leicht, in dieser Stadt ein gutes Lokal zu finden.", "Der Zug hatte Verspätung, weil auf der Strecke Schnee lag.", "Die Kinder spielten mit dem Hund, und der Vater sah ihnen von der Tür aus zu."],
+    "fr": ["Tous les êtres humains naissent libres et égaux en dignité et en droits.", "Il faisait beau hier et nous sommes allés nous promener dans le parc.", "Merci d'envoyer le rapport au bureau avant vendredi matin.", "Ce n'est pas facile de trouver un bon endroit pour manger dans cette ville.", "Le train était en retard à cause de la neige sur la voie.", "Elle a pris le livre sur la table et elle est partie avec les enfants."],
+    "es": ["Todos los seres humanos nacen libres e iguales en dignidad y derechos.", "Ayer hizo buen tiempo y fuimos a pasear por el parque.", "Por favor, envíe el informe a la oficina antes del viernes.", "No es fácil encontrar un buen lugar para comer en esta ciudad.", "El tren llegó tarde por culpa de la nieve en la vía.", "La casa de mi abuela está en un pueblo que se ve desde la carretera."],
+}
+UNKNOWN = [
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.", "Mi ha chiesto se potevo aiutarla con il nuovo computer.", "Per favore mandate la relazione in ufficio entro venerdì mattina.", "Non è facile trovare un buon posto per mangiare in questa città.", "Mio fratello lavora in un ospedale e gli piace il suo lavoro.",
+    "Todos os seres humanos nascem livres e iguais em dignidade e em direitos.", "Ela perguntou-me se eu podia ajudá-la com o novo computador.", "Por favor envie o relatório ao escritório até sexta-feira de manhã.", "Não é fácil encontrar um bom lugar para comer nesta cidade.", "O meu irmão trabalha num hospital e gosta do seu trabalho.",
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren.", "Ze vroeg me of ik haar met de nieuwe computer kon helpen.", "Stuur het verslag voor vrijdagochtend naar het kantoor.", "Het is niet makkelijk om in deze stad een goede plek te vinden.", "Mijn broer werkt in een ziekenhuis en hij houdt van zijn werk.",
+    "Alla människor är födda fria och lika i värde och rättigheter.", "Vädret var fint igår så vi tog en promenad i parken.", "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach.", "Wczoraj była ładna pogoda, więc poszliśmy na spacer do parku.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+]
+
+
+def test_ordinary_text_of_known_languages_is_kept_and_of_others_rejected():
+    """Sentences from outside the corpus, one by one and several together."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    seen = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and len(r["text"]) < 20_000]
+    model = langid.train([(r["text"], r["lang"]) for r in random.Random(1).sample(seen, 4000)])
+    kept = []
+    for language, texts in KNOWN.items():
+        best, score = model.predict([*texts, " ".join(texts)])
+        right = [model.languages[i] == language for i in best]
+        kept += list(right[:-1] & (score[:-1] >= langid.CERTAIN))
+        assert right[-1] and score[-1] >= langid.CERTAIN and np.mean(kept[-len(texts) :]) >= 0.8
+    assert np.mean(kept) >= 0.9
+    assert np.mean(model.predict(UNKNOWN)[1] < langid.CERTAIN) >= 0.9
+    assert (model.predict([" ".join(UNKNOWN[i : i + 5]) for i in (0, 5, 10)])[1] < langid.CERTAIN).all()
 
 
 def test_more_languages_than_dimensions():
