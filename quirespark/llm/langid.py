@@ -18,7 +18,8 @@ Text from elsewhere has other subwords than the sample, in the languages it know
 that its language uses everywhere: those with a share of COMMON or more of the language's words, in NEEDED of its texts or more. If the
 language is the one predicted they occur at the rate they have in the sample, else at the rate that relatives have, which is
 taken to be CARRY of it (and half of what another known language has), and in a long text CLOSE of it at most. The two likelihood ratios, and
-FOREIGN_LETTER for each letter beyond ASCII that the language does not use, give the probability that the text is in it.
+FOREIGN_LETTER for each letter beyond ASCII that the language does not use, give the odds that the text is in it; with the softmax they
+also say which language it is.
 
 The score is the probability of the language times that of a text in it, the larger of the two. A prediction is
 rejected if its score is below CERTAIN, so foreign languages, noise and code go, not
@@ -142,17 +143,17 @@ class Model:
         """Standard deviations from what is usual for the language of each text."""
         return (mean[:, -1] - self.usual[language]) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(n, 1))
 
-    def evidence(self, text: str, language: int) -> float:
-        """Log odds, by its common words and its letters, that a text is in a language."""
+    def evidence(self, text: str) -> np.ndarray:
+        """For each language the log odds, by its common words and its letters, that a text is in it."""
         low = text.lower()
         found = WORD.findall(low)
-        ratios = len(found) * self.missed[language]
+        ratios = len(found) * self.missed
         for w in found:
-            own = self.common.get(w)
-            if own is not None:
-                ratios = ratios + own[language]
-        odd = 0 if low.isascii() else sum(c.isalpha() and not c.isascii() and c not in self.letters[language] for c in low)
-        return float(min(ratios[0], ratios[1] + GRANTED)) + FOREIGN_LETTER * odd
+            if w in self.common:
+                ratios = ratios + self.common[w]
+        marked = [] if low.isascii() else [c for c in low if c.isalpha() and not c.isascii()]
+        odd = np.array([sum(c not in own for c in marked) for own in self.letters])
+        return np.minimum(ratios[:, 0], ratios[:, 1] + GRANTED) + FOREIGN_LETTER * odd
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language (-1: unknown) and the score."""
@@ -163,8 +164,13 @@ class Model:
         best = p.argmax(1)
         known = 1 / (1 + np.exp(-np.clip(self.slope * (self.familiarity(mean, n, best) - self.limit), -30, 30)))
         own = p[np.arange(len(p)), best]
-        for i in np.nonzero((n > 0) & (own * known < CERTAIN) & (own >= CERTAIN))[0].tolist():
-            known[i] = max(known[i], 1 / (1 + math.exp(-min(30.0, max(-30.0, self.evidence(texts[i], int(best[i])))))))
+        for i in np.nonzero((n > 0) & (own * known < CERTAIN))[0].tolist():
+            odds = self.evidence(texts[i])
+            by_words = softmax((np.log(p[i] + 1e-300) + odds)[None])[0]
+            k = int(by_words.argmax())
+            score = by_words[k] / (1 + math.exp(-min(30.0, max(-30.0, odds[k]))))
+            if score > own[i] * known[i]:
+                best[i], own[i], known[i] = k, score, 1.0
         return np.where(n > 0, best, -1), np.where(n > 0, own * known, 0.0)
 
 
