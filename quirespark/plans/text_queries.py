@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import find, vocabulary
+from ..operators import extract, find, tables, vocabulary
 from ..sources.schema import document
 from ..streaming import watchdog
 from .catalog import _DOCUMENT, _NORM, query, status_events
@@ -98,3 +98,43 @@ _LIMIT = 2 * 86400
 def guarded_flights(spark, sf_dir):
     """Admissions, and failures of flights of over two days."""
     return watchdog.guarded(status_events(spark, sf_dir), _LIMIT).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _lines(content: bytes):
+    yield from content.split(b"\n")
+
+
+@query("select doc_id, (k + 1)::int as page, md5(line) as image_md5 from (select id as doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k from document)")
+def pages_by_lateral_join(spark, sf_dir):
+    """Lines of texts as the pages of files, by a table function."""
+    files = document(spark, sf_dir).select(F.col("id").alias("doc_id"), F.encode("text", "UTF-8").alias("content"))
+    return tables.pages_of(files, _lines).select("doc_id", "page", F.md5("image").alias("image_md5"))
+
+
+def _plain(content: bytes) -> str:
+    return content.decode() if content[-1:] != b"." else ""
+
+
+@query(
+    """select id, md5(case when text like '%.' then '[BŁĄD ODCZYTU] Nie można odczytać dokumentu Word. ' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end) as text_md5,
+    case when text like '%.' then null else 'plain' end as parser, case when text like '%.' then 'docx: BadZipFile,plain: empty' else 'docx: BadZipFile' end as tried from document where text <> ''"""
+)
+def texts_by_parser_chain(spark, sf_dir):
+    """Texts that are no Word files go on to the next parser, which takes those that do not end in a full stop."""
+    files = document(spark, sf_dir).where("text <> ''").select("id", F.encode("text", "UTF-8").alias("content"))
+    return extract.word_texts(files, [("plain", _plain)]).select("id", F.md5("text").alias("text_md5"), "parser", F.array_join("tried", ",").alias("tried"))
+
+
+@query("select id, case when id % 5 = 0 then 'k4' else step end as step, case when id % 5 = 0 then 2::bigint else 0::bigint end as version from document where id % 10 <> 3 union all select id + 1000000000, 'k1', 1::bigint from document where id % 20 = 7")
+def table_after_changes(spark, sf_dir):
+    """The stored table after two batches of changes, one of them repeated and late: new states, new rows and removals."""
+    path = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    docs = document(spark, sf_dir).select("id", "step")
+    state = lambda where, id_, version, step, deleted: docs.where(where).selectExpr(f"{id_} as id", f"{version}L as version", f"{step} as step", f"{deleted} as deleted")
+    tables.keep(state("true", "id", 0, "step", "false"), path)
+    first = state("id % 5 = 0", "id", 1, "'k2'", "false").unionByName(state("id % 20 = 7", "id + 1000000000", 1, "'k1'", "false"))
+    second = state("id % 5 = 0", "id", 2, "'k4'", "false").unionByName(state("id % 10 = 3", "id", 2, "null", "true"))
+    put = tables.upsert(path)
+    for n, batch in enumerate((first, second, first)):
+        put(batch, n)
+    return tables.table(spark, path).select("id", "step", "version")
