@@ -202,7 +202,8 @@ def common_words(model: Model, sample: list[tuple[str, str]]) -> None:
         texts[k].update(own.keys())
         letters[k].update(c for c in set(t.lower()) if not c.isascii())
         many[k] += 1
-    share = [{w: c / sum(words[k].values()) for w, c in words[k].items() if c >= COMMON * sum(words[k].values()) and texts[k][w] >= NEEDED * many[k]} for k in range(n)]
+    total = [sum(w.values()) for w in words]
+    share = [{w: c / total[k] for w, c in words[k].items() if c >= COMMON * total[k] and texts[k][w] >= NEEDED * many[k]} for k in range(n)]
     model.missed = np.zeros((n, 2))
     for k in range(n):
         chance = {w: (min(f, max(CARRY * f, *(0.5 * share[j].get(w, 0.0) for j in range(n) if j != k), 0.0)), CLOSE * f) for w, f in share[k].items()}
