@@ -133,12 +133,15 @@ def image_size(content: Column) -> Column:
         .when(part == "56503820", size(little(content, 26, 2).bitwiseAND(F.lit(0x3FFF)), little(content, 28, 2).bitwiseAND(F.lit(0x3FFF))))
     )
     jpeg = F.get(F.transform(F.array(jpeg_frame(content)), lambda at: size(big(content, at + 7, 2), big(content, at + 5, 2))), F.lit(0))
-    kind = signature(content)
-    return (
-        F.when(kind == "image/png", size(big(content, 16, 4), big(content, 20, 4)))
-        .when(kind == "image/gif", size(little(content, 6, 2), little(content, 8, 2)))
-        .when(kind == "image/bmp", size(F.when(old, little(content, 18, 2)).otherwise(little(content, 18, 4)), rows))
-        .when(kind == "image/tiff", size(tiff_entry(content, 256), tiff_entry(content, 257)))
-        .when(kind == "image/webp", webp)
-        .when(kind == "image/jpeg", jpeg)
-    )
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "image/png", size(big(content, 16, 4), big(content, 20, 4)))
+            .when(kind == "image/gif", size(little(content, 6, 2), little(content, 8, 2)))
+            .when(kind == "image/bmp", size(F.when(old, little(content, 18, 2)).otherwise(little(content, 18, 4)), rows))
+            .when(kind == "image/tiff", size(tiff_entry(content, 256), tiff_entry(content, 257)))
+            .when(kind == "image/webp", webp)
+            .when(kind == "image/jpeg", jpeg)
+        )
+
+    # as an element of an array the kind is found once
+    return F.get(F.transform(F.array(signature(content)), by_kind), F.lit(0))

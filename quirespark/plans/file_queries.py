@@ -51,7 +51,7 @@ def image_sizes(spark, sf_dir):
     content = kinds[-1]
     for k, c in enumerate(kinds[:-1]):
         content = F.when(F.col("doc_id") % len(kinds) == k, c).otherwise(content)
-    sized = docs.select("doc_id", images.image_size(content).alias("_s")).select("doc_id", "_s.width", "_s.height")
+    sized = docs.select("doc_id", content.alias("content")).select("doc_id", images.image_size(F.col("content")).alias("_s")).select("doc_id", "_s.width", "_s.height")
     box = L.crop_box(*(F.lit(x) for x in (0.25, 0.5, 0.75, 0.625)), F.col("width"), F.col("height"))
     return sized.withColumns({k: v for k, v in box.items() if k != "scale"})
 
