@@ -65,7 +65,10 @@ def newest_first(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with `position`, its place in newest_first() from 1; equal times are told apart by id and may lie in several tasks."""
+    """df with `position`, its place in newest_first() from 1; equal times are told apart by id and may lie in several tasks.
+
+    All columns of df are written once to the shared folder: leave out texts and what else is not shown before.
+    """
     return placed(df, [], [F.desc("upload_time"), F.desc("id")], "position").withColumn("position", F.col("position") + 1)
 
 

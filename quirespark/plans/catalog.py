@@ -56,9 +56,9 @@ def doc_list_by_step(spark, sf_dir):
     """Documents of two steps and a kind that hold a term in their metadata, newest first."""
     found = listing.search(listing.by_type(listing.by_steps(document(spark, sf_dir), ["k1", "k3"]), "Inne"), "Plik_1")
     c = F.col
-    return listing.numbered(found).select(
-        "id", "sygnatura", "doc_type", "step", L.kind_label(c("is_main"), c("mime_type"), c("doc_type")).alias("kind"), L.ocr_label(c("ocr_status")).alias("ocr"), L.minute(c("upload_time")).alias("added"), "position"
-    )
+    kind, ocr_state = L.kind_label(c("is_main"), c("mime_type"), c("doc_type")).alias("kind"), L.ocr_label(c("ocr_status")).alias("ocr")
+    shown = found.select("id", "sygnatura", "doc_type", "step", kind, ocr_state, L.minute(c("upload_time")).alias("added"), "upload_time")
+    return listing.numbered(shown).drop("upload_time")
 
 
 @query("select id, step from document where is_main and step in ('k1', 'k2', 'k3')")
