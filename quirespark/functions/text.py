@@ -46,9 +46,13 @@ def words(normal: Column) -> Column:
 
 def fragments(normal: Column, n: int) -> Column:
     """All runs of n words of a normalized text."""
-    w = words(normal)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-    return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    # as an element of an array the text is split once, not once for each of its runs
+    return F.transform(F.array(words(normal)), runs)[0]
 
 
 def truncate(text: Column, n: int, mark: str = "...") -> Column:

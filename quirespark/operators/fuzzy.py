@@ -29,8 +29,8 @@ THRESHOLD = 0.7
 CACHE = 200_000
 
 
-def similar_to(term: str, threshold: float) -> Callable[[str], bool]:
-    """Whether the ratio of a normalized term to a string reaches the threshold."""
+def similar_to(term: str, threshold: float, cache: int = CACHE) -> Callable[[str], bool]:
+    """Whether the ratio of a normalized term to a string reaches the threshold; as many strings are remembered as `cache` says."""
     n, letters = len(term), Counter(term)
 
     def similar(w: str) -> bool:
@@ -39,7 +39,7 @@ def similar_to(term: str, threshold: float) -> Callable[[str], bool]:
             return False
         return SequenceMatcher(None, term, w).ratio() >= threshold
 
-    return lru_cache(CACHE)(similar)
+    return lru_cache(cache)(similar)
 
 
 def any_similar(term: str, normal: Column, threshold: float) -> Column:

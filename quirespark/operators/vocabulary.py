@@ -4,10 +4,10 @@ build() writes an inverted index: a row for each word and block of documents. Bl
 every document is as many rows as there are blocks. Rows lie by length of word, so that the bounds of a search reach
 the scan as filters on `length`.
 
-search() compares terms of one word with the vocabulary. Lengths and letters in common bound the ratio from above; both bounds
+search() compares terms with the vocabulary. Lengths and letters in common bound the ratio from above; both bounds
 are built-in expressions. The words that are left meet the terms in Python, without documents or texts; those that match
 are joined with their blocks. A term of several words can also be like a run of as many words, which a vocabulary
-does not hold: such runs are taken from the texts by built-in expressions, bounded in the same way, and compared once each.
+does not hold: such runs are taken from the texts by built-in expressions and bounded in the same way, where the texts lie.
 
 The result is that of fuzzy.fuzzy_match() for every term.
 """
@@ -15,6 +15,7 @@ The result is that of fuzzy.fuzzy_match() for every term.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,8 @@ from .fuzzy import THRESHOLD, similar_to
 
 #: Documents in a block of the index.
 BLOCK = 100_000
+#: Words or runs that a task remembers for each term.
+REMEMBERED = 20_000
 
 
 def build(df: DataFrame, key: str, text: str, path: str, blocks: int | None = None) -> DataFrame:
@@ -44,36 +47,40 @@ def build(df: DataFrame, key: str, text: str, path: str, blocks: int | None = No
 
 
 def pairs(vocabulary: DataFrame, terms: list[str], threshold: float) -> DataFrame:
-    """(term, word) of vocabulary (word, length), normalized terms and words that the bounds let through."""
+    """vocabulary (word, length, more) with the normalized terms that the bounds let each word meet, and whether it holds them.
+
+    All words hold the empty term; as every text that is not empty has the empty word, that one stands for them.
+    """
     least = threshold / (2 - threshold)
     asked = [(t, len(t), -(-len(t) * 7 // 10), list(Counter(t).items())) for t in terms]
     shortest = min(min(n for _, n, *_ in asked), min(int(n * least - 1e-9) for _, n, *_ in asked)) if asked else 0
     schema = "array<struct<term:string,n:int,short:int,letters:array<struct<c:string,k:int>>>>"
     table = vocabulary.sparkSession.createDataFrame([(asked,)], f"asked {schema}")
-    met = vocabulary.where(F.col("length") >= shortest).crossJoin(F.broadcast(table)).select("word", "length", F.explode("asked").alias("t"))
+    met = vocabulary.where(F.col("length") >= shortest).crossJoin(F.broadcast(table)).select(*vocabulary.columns, F.explode("asked").alias("t"))
     common = F.aggregate("t.letters", F.lit(0), lambda s, x: s + F.least(x["k"], F.col("length") - F.length(F.replace(F.col("word"), x["c"], F.lit("")))))
     needed = threshold * (F.col("t.n") + F.col("length")) / 2 - 1e-9
-    holds = F.contains(F.col("word"), F.col("t.term"))
+    holds = F.contains(F.col("word"), F.col("t.term")) & ((F.col("t.n") > 0) | (F.col("length") == 0))
     long = F.col("length") >= F.col("t.short")
     near = (F.col("t.n") > 2) & long & (F.least("t.n", "length") >= needed) & (common >= needed)
-    return met.where(holds | near).select("t.term", "word", holds.alias("holds"))
+    return met.where(holds | near).select("t.term", *vocabulary.columns, holds.alias("holds"))
 
 
-def like(term: Column, word: Column, threshold: float) -> Column:
-    """Whether the ratio of a term to a word reaches the threshold; each term's letters are counted once a batch."""
+def like(term: Column, word: Column, holds: Column, threshold: float) -> Column:
+    """Whether a word holds a term or the ratio of the two reaches the threshold; each term's letters are counted once a task."""
 
     @pandas_udf(T.BooleanType())
-    def similar(terms: pd.Series, words_: pd.Series) -> pd.Series:
-        tests = {t: similar_to(t, threshold) for t in terms.unique()}
-        return pd.Series([tests[t](w) for t, w in zip(terms, words_, strict=True)], dtype=bool)
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tests = {}
+        for terms, words_, holds_ in batches:
+            tests |= {t: similar_to(t, threshold, REMEMBERED) for t in terms.unique() if t not in tests}
+            yield pd.Series([h or tests[t](w) for t, w, h in zip(terms, words_, holds_, strict=True)], dtype=bool)
 
-    return similar(term, word)
+    return similar(term, word, holds)
 
 
 def matching(found: DataFrame, threshold: float) -> DataFrame:
-    """(term, word) of pairs() that match."""
-    near = found.where("not holds")
-    return found.where("holds").select("term", "word").unionByName(near.where(like(F.col("term"), F.col("word"), threshold)).select("term", "word"))
+    """The rows of pairs() that match."""
+    return found.where(like(F.col("term"), F.col("word"), F.col("holds"), threshold)).drop("holds")
 
 
 def search(index: DataFrame, terms: list[str], texts: DataFrame | None = None, key: str = "id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -83,28 +90,27 @@ def search(index: DataFrame, terms: list[str], texts: DataFrame | None = None, k
     """
     spark = index.sparkSession
     own = {t: normalized(t) for t in terms if t}
-    single = sorted({n for n in own.values() if " " not in n})
     several = sorted({n for n in own.values() if " " in n})
     if several and texts is None:
         raise ValueError(f"terms of several words need the texts: {several}")
-    found = None
-    if single:
-        vocabulary = index.select("word", "length").distinct()
-        hit = matching(pairs(vocabulary, single, threshold), threshold)
-        found = hit.join(index, "word").select("term", F.explode("ids").alias("id")).distinct()
-    for size in sorted({n.count(" ") + 1 for n in several}):
-        runs_found = of_runs(texts.select(F.col(key).alias("id"), F.col(text).alias("text")), [n for n in several if n.count(" ") + 1 == size], size, threshold)
-        found = runs_found if found is None else found.unionByName(runs_found).distinct()
-    if found is None:
+    if not own:
         return spark.createDataFrame([], f"term string, id {dict(index.select(F.explode('ids').alias('i')).dtypes)['i']}")
+    vocabulary = index.select("word", "length").distinct()
+    hit = matching(pairs(vocabulary, sorted(set(own.values())), threshold), threshold).select("term", "word")
+    found = hit.join(index, "word").select("term", F.explode("ids").alias("id"))
+    for size in sorted({n.count(" ") + 1 for n in several}):
+        found = found.unionByName(of_runs(texts.select(F.col(key).alias("id"), F.col(text).alias("text")), [n for n in several if n.count(" ") + 1 == size], size, threshold))
+    found = found.distinct()
     names = spark.createDataFrame(list(own.items()), "asked string, term string")
     return found.join(F.broadcast(names), "term").select(F.col("asked").alias("term"), "id")
 
 
 def of_runs(texts: DataFrame, terms: list[str], size: int, threshold: float) -> DataFrame:
-    """(term, id) of texts (id, text) that hold normalized terms of `size` words, or a word or a run of `size` words like one."""
-    normal = texts.where("text <> '' and id is not null").select("id", normalize(F.col("text")).alias("_n"))
-    held = normal.select("id", "_n", F.explode(F.array(*map(F.lit, terms))).alias("term")).where(F.contains("_n", F.col("term"))).select("term", "id")
-    runs = normal.select("id", F.explode(F.array_distinct(F.concat(words(F.col("_n")), fragments(F.col("_n"), size)))).alias("word")).withColumn("length", F.length("word"))
-    near = matching(pairs(runs.select("word", "length").distinct(), terms, threshold), threshold)
-    return held.unionByName(near.join(runs.select("id", "word"), "word").select("term", "id")).distinct()
+    """(term, id) of texts (id, text) with a run of `size` words that holds a normalized term of `size` words or is like it.
+
+    A text that holds a term holds it within such a run. A run that occurs again in its text is met again, as most are told apart before any are compared.
+    """
+    # as an element of an array each text is normalized once
+    of_text = F.transform(F.array(normalize(F.col("text"))), lambda n: fragments(n, size))[0]
+    runs = texts.where("text <> '' and id is not null").select("id", F.explode(of_text).alias("word")).withColumn("length", F.length("word"))
+    return matching(pairs(runs, terms, threshold).distinct(), threshold).select("term", "id")

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quirespark.functions.text import fragments
 from quirespark.operators import find, vocabulary
 from quirespark.operators.fuzzy import fuzzy_match
 
@@ -78,3 +79,19 @@ def test_vocabulary_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "id long, text string")
     index = vocabulary.build(df, "id", "text", str(tmp_path / "index"))
     assert vocabulary.search(index, ["a", "b c"], df).collect() == []
+
+
+def test_runs_are_made_of_words_split_once(spark):
+    runs = spark.createDataFrame([("a b c d",), ("a",), ("",)], "t string").select(fragments(F.col("t"), 3).alias("runs"))
+    assert [r.runs for r in runs.collect()] == [["a b c", "b c d"], [], []]
+    assert runs._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_terms_of_several_words_within_words_and_runs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "proof tehran"), (2, "of the of the"), (3, "ofteh"), (4, "roof, the"), (5, "of"), (6, "x" * 50 + "of tehx y")], "id long, text string")
+    index = vocabulary.build(df, "id", "text", str(tmp_path / "index"))
+    for t in ("of teh", "!!", "of the of"):
+        want = sorted(r.id for r in fuzzy_match(df, "id", "text", t).where("matched").collect())
+        assert sorted(r.id for r in vocabulary.search(index, [t], df).collect()) == want and want, t
+    # of all words, which hold the empty term, the empty one is enough
+    assert [r.word for r in vocabulary.pairs(index.select("word", "length").distinct(), [""], 0.7).collect()] == [""]
