@@ -1,8 +1,8 @@
 """Fuzzy search of many terms over a stored vocabulary: each distinct word is compared once, however often it stands in the texts.
 
 build() writes an inverted index: a row for each word and block of documents. Blocks are dealt by the hash of the id, so a word that is in
-every document is as many rows as there are blocks. Rows lie by length of word, so that the bounds of a search reach
-the scan as filters on `length`.
+every document is as many rows as there are blocks. Rows are dealt by the hash of word and block and lie by length of word in each file, so that the
+bounds of a search reach the scan as filters on `length`.
 
 search() compares terms with the vocabulary. Lengths and letters in common bound the ratio from above; both bounds
 are built-in expressions. The words that are left meet the terms in Python, without documents or texts; those that match
@@ -28,6 +28,8 @@ from .fuzzy import THRESHOLD, similar_to
 
 #: Documents in a block of the index.
 BLOCK = 100_000
+#: Least tasks that gather the index, for each block.
+TASKS = 10
 #: Words or runs that a task remembers for each term.
 REMEMBERED = 20_000
 
@@ -41,8 +43,10 @@ def build(df: DataFrame, key: str, text: str, path: str, blocks: int | None = No
     n = blocks or max(1, -(-texts.count() // BLOCK))
     word = F.explode(F.array_append(F.array_distinct(words(normalize(F.col("text")))), F.lit(""))).alias("word")
     rows = texts.select("id", word).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    index = rows.groupBy("word", "block").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("length", F.length("word"))
-    index.repartitionByRange("length", "word", "block").sortWithinPartitions("length", "word", "block").select("word", "length", "block", "ids").write.mode("overwrite").parquet(path)
+    # most words are rare, so ids are gathered where a word's block is, not before; ranges of length would put the common words, which are short, into one task
+    dealt = rows.repartition(max(TASKS * n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word", "block")
+    index = dealt.groupBy("word", "block").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("length", F.length("word"))
+    index.sortWithinPartitions("length", "word", "block").select("word", "length", "block", "ids").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

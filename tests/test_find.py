@@ -95,3 +95,10 @@ def test_terms_of_several_words_within_words_and_runs(spark, tmp_path):
         assert sorted(r.id for r in vocabulary.search(index, [t], df).collect()) == want and want, t
     # of all words, which hold the empty term, the empty one is enough
     assert [r.word for r in vocabulary.pairs(index.select("word", "length").distinct(), [""], 0.7).collect()] == [""]
+
+
+def test_common_words_are_not_in_one_file(spark, tmp_path):
+    text = F.concat(F.lit(" ".join(f"{a}{b}" for a in "abcdefgh" for b in "xyzw")), F.lit(" longword"), F.col("id").cast("string"))
+    index = vocabulary.build(spark.range(2000).select("id", text.alias("text")), "id", "text", str(tmp_path / "index"))
+    sizes = [r[1] for r in index.groupBy(F.input_file_name()).agg(F.sum(F.size("ids"))).collect()]
+    assert sum(sizes) == 2000 * 34 and max(sizes) < sum(sizes) / 2
