@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import labels as L
 from .versions import latest_ocr
@@ -18,20 +16,11 @@ OCR_MARK = "\n\n=== OCR RESULTS ===\n"
 SHORTENED = "...\n[Skrócone - pobierz pełny tekst, aby zobaczyć więcej]"
 
 
-@pandas_udf(T.StringType())
-def decoded(content: pd.Series) -> pd.Series:
+def decoded(content: Column | str) -> Column:
     """Bytes as UTF-8, else as Latin-1, which takes any byte; line ends become \\n."""
-
-    def one(b: bytes | None) -> str | None:
-        if b is None:
-            return None
-        try:
-            text = b.decode("utf-8")
-        except UnicodeDecodeError:
-            text = b.decode("latin-1")
-        return text.replace("\r\n", "\n").replace("\r", "\n")
-
-    return content.map(one)
+    content = F.col(content) if isinstance(content, str) else content
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def extracted(files: DataFrame, parsers: list[Callable[[bytes], str]], failure: str = "") -> DataFrame:

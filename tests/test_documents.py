@@ -285,3 +285,19 @@ def test_uploads_up_to_a_refused_one(spark):
 def test_exports_trim_white_space_of_all_kinds(spark):
     df = spark.createDataFrame([("\n  a, b\r\nc ﻿",)], "v string")
     assert sinks.body(df, sinks.always).first().value == '"a, b c"' and sinks.body(df, sinks.never).first().value == "a; b c"
+
+
+def test_bytes_are_decoded_without_python(spark):
+    """Surrogates, numbers beyond Unicode and overlong or broken sequences are no UTF-8; a mark at the beginning stays."""
+    rows = [b"", None, b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xf4\x8f\xbf\xbf", b"\xc0\x80", b"\xe0\x80\x80", b"\xef\xbb\xbfabc", b"\xc5", b"a\r\n\r\rb\n\r", b"\x80\x9f\xff\r", b"\x00a", b"z\xc5\x82\r\n"]
+
+    def plain(b):
+        try:
+            text = b.decode()
+        except UnicodeDecodeError:
+            text = b.decode("latin-1")
+        return text.replace("\r\n", "\n").replace("\r", "\n")
+
+    texts = spark.createDataFrame(list(enumerate(rows)), "id int, content binary").select("id", contents.decoded("content").alias("text"))
+    assert {r.id: r.text for r in texts.collect()} == {i: None if b is None else plain(b) for i, b in enumerate(rows)}
+    assert "Python" not in texts._jdf.queryExecution().executedPlan().toString()
