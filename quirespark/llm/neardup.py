@@ -1,14 +1,15 @@
 """Near-duplicate stage of the pipeline: texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
 Shingles are those of operator 6, WIDTH words wide; a text is the set of their XXH64
-hashes. A bit of a SimHash differs with probability 0.15 between sets of similarity 0.8
-(ten of 64 bits), out of reach of covering tables. A text therefore has TABLES
+hashes. Candidates come from operator 6: texts whose SimHash differs in RADIUS bits at most meet in its
+covering tables. A bit differs with probability 0.15 between sets of similarity 0.8
+(ten of 64 bits), out of reach of these tables. A text has therefore also TABLES
 independent fingerprints, each of the least values of its set under ROWS random
 orders: two sets of similarity s have one of them equal with probability
 s ** ROWS, so at 0.8 a pair is missed by all with probability 0.0005, above it with less.
 
-Texts with an equal fingerprint are tied to the least of its bucket, and the components
-of these ties are candidate groups. The sets of a group meet in a task, where every pair
+Texts with an equal fingerprint are tied to the least of its bucket, those with near SimHashes to one
+another, and the components of all these ties are candidate groups. The sets of a group meet in a task, where every pair
 that no chain of links connects yet is verified by its exact similarity, so only
 true links come out. A group of more than BLOCK hashes is split into blocks, every two
 of which meet in a task of their own. Equal sets count once.
@@ -30,7 +31,8 @@ from xxhash import xxh64_intdigest
 
 from .common import bounded, cut, text_steps
 from .components import components
-from .simhash import SEED, hashes
+from .simhash import SEED, hashes, of_hashes
+from .simhash import links as near_prints
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -47,7 +49,11 @@ MIX = _rng.integers(0, 1 << 64, (TABLES, ROWS), np.uint64) | np.uint64(1)
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The set of a text's shingles: sorted 64-bit hashes."""
-    return np.unique(np.frombuffer(hashes(text, WIDTH)[1], np.uint64))
+    return as_set(hashes(text, WIDTH)[1])
+
+
+def as_set(hashed: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashed, np.uint64))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -66,17 +72,18 @@ def keys(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, set_id, n distinct shingles, keys) of docs (doc_id, text); text_key is the XXH64 of the text."""
+    """(doc_id, text_key, set_id, n distinct shingles, fp, keys) of docs (doc_id, text); text_key is the XXH64 of the text, fp its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in text_steps(batch, "t")):
-            sets = [shingles(t) for t in b.column("t").to_pylist()]
+            hashed = [hashes(t, WIDTH) for t in b.column("t").to_pylist()]
+            sets = [as_set(h) for _, h in hashed]
             found = [keys(s) for s in sets]
             offsets = pa.array(np.r_[0, np.cumsum([len(k) for k in found])].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "text_key", "set_id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(of_hashes(hashed)), lists], names=["doc_id", "text_key", "set_id", "n", "fp", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, text_key long, set_id long, n long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, text_key long, set_id long, n long, fp long, keys array<long>")
 
 
 def verify(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -151,6 +158,16 @@ def links(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def near_sets(found: DataFrame) -> DataFrame:
+    """Ties (a, b) between sets of found (set_id, n, fp) with shingles whose SimHashes are equal or meet in the covering tables of operator 6. Copies, and texts that differ in repeats only, may share a set."""
+    prints = cut(found.where("n > 0").select("fp", "set_id").distinct())
+    first = cut(prints.groupBy("fp").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("_sets")))
+    same = prints.join(bounded(first.where("_sets > 1").select("fp", "a")), "fp").where("set_id <> a").select("a", F.col("set_id").alias("b"))
+    met = cut(near_prints(first.select("fp")))
+    left, right = (first.select(F.col("fp").alias(side), F.col("a").alias(f"_{side}")) for side in "ab")
+    return same.union(met.join(left, "a").join(right, "b").select("_a", "_b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, component_id) for every row of docs (doc_id, text) that has an id; component_id is the component's least id."""
     ids = docs.where(F.col("doc_id").isNotNull())
@@ -160,7 +177,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = sets.select("set_id", F.explode("keys").alias("key"))
     sets = sets.drop("keys")
     buckets = cut(rows.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("_b")).where("a < _b").select("key", "a"))
-    tied = components(rows.join(bounded(buckets), "key").where("set_id <> a").select(F.col("set_id").alias("b"), "a"))
+    ties = rows.join(bounded(buckets), "key").where("set_id <> a").select("a", F.col("set_id").alias("b"))
+    tied = components(ties.union(near_sets(found)))
     members = cut(tied.withColumnRenamed("node", "set_id").join(sets, "set_id").select("root", "set_id", "least", "n"))
     linked = cut(components(links(ids, members, block)).withColumnRenamed("node", "set_id").join(sets, "set_id"))
     of_linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id")

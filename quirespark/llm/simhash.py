@@ -56,9 +56,13 @@ def hashes(text: bytes | None, width: int) -> tuple[int, bytes]:
 
 def fingerprint(texts: list[bytes | None], width: int = WIDTH) -> np.ndarray:
     """Signed 64-bit fingerprints."""
-    found = [hashes(t, width) for t in texts]
+    return of_hashes([hashes(t, width) for t in texts])
+
+
+def of_hashes(found: list[tuple[int, bytes]]) -> np.ndarray:
+    """Signed 64-bit fingerprints of what hashes() gives for each text."""
     n = np.array([k for k, _ in found], np.int64)
-    out = np.zeros(len(texts), np.int64)
+    out = np.zeros(len(found), np.int64)
     some = np.nonzero(n)[0]
     if some.size:
         bits = np.unpackbits(np.frombuffer(b"".join(h for _, h in found), np.uint8).reshape(-1, 8), axis=1)

@@ -97,3 +97,13 @@ def test_one_text_very_often(spark):
     docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(200_000, text + " more"), (200_001, "something else entirely of its own")], "doc_id long, text string"))
     kept = neardup.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 200_001]
+
+
+def test_candidates_come_from_the_covering_tables_too(spark):
+    """Sets tied by SimHashes of three differing bits at most, whatever their other fingerprints are; the empty set by none."""
+    bits = 0x0123456789ABCDEF
+    rows = [(1, 9, bits), (2, 9, bits ^ 0x8001), (3, 9, bits ^ 0xF0), (4, 9, bits), (2, 9, bits ^ 0x8000), (5, 9, -bits), (6, 0, 0), (7, 9, 1), (8, 9, 1)]
+    ties = neardup.near_sets(spark.createDataFrame(rows, "set_id long, n long, fp long"))
+    assert {(r.node, r.root) for r in neardup.components(ties).collect()} == {(1, 1), (2, 1), (4, 1), (7, 7), (8, 7)}
+    found = neardup.sketches(spark.createDataFrame([(1, "a b c d e f a b c d e f g"), (2, None)], "doc_id long, text string")).collect()
+    assert [r.fp for r in sorted(found)] == neardup.of_hashes([neardup.hashes(b"a b c d e f a b c d e f g", 5), (0, b"")]).tolist()
