@@ -93,6 +93,46 @@ def test_stretches_over_pieces(monkeypatch):
     assert by_start[0] == by_start[1] and sorted(by_start[0]) == list(range(len(data) - N + 1))
 
 
+def around(rng, ahead, left, anchor, right, n):
+    """A stretch (n, ahead, bytes) of n strings with the anchor `ahead` bytes behind the first; it ends in left before the anchor, and goes on with right behind it."""
+    size = n + N - 1
+    data = rng.bytes(ahead - len(left)) + left + anchor + right
+    return n, ahead, (data + rng.bytes(max(0, size - len(data))))[:size]
+
+
+def test_only_strings_that_may_repeat_come_to_a_shard():
+    """An anchor and some bytes around it are not enough; whatever repeats is kept, and little besides."""
+    rng = np.random.default_rng(8)
+    anchor = rng.bytes(repeats.GRAM)
+    far = [(1, 2, 1, *around(rng, 300, b"", anchor, b"", 250)) for _ in range(3)]
+    left, right = rng.bytes(150), rng.bytes(150)
+    near = [(1, 2, 1, *around(rng, 300, left, anchor, right, 250)) for _ in range(3)]
+    assert repeats.met_again(far) == repeats.met_again(near) == []
+    for trial in range(60):
+        left, right = (rng.bytes(int(k)) for k in rng.integers(0, 330, 2))
+        held = []
+        for _ in range(4):
+            ahead = int(rng.integers(0, N - repeats.GRAM + 1))
+            held.append((1, 2, 1, *around(rng, ahead, left[max(0, len(left) - ahead) :], anchor, right, int(rng.integers(1, ahead + 2)))))
+        count = Counter(data[i : i + N] for *_, n, _, data in held for i in range(n))
+        want = {(k, i) for k, (*_, n, _, data) in enumerate(held) for i in range(n) if count[data[i : i + N]] > 1}
+        runs = repeats.met_again(held)
+        kept = [(k, i) for k, first, end in runs for i in range(first, end)]
+        assert len(kept) == len(set(kept)) and want <= set(kept), trial
+        assert all(0 <= first < end <= held[k][3] for k, first, end in runs)
+        assert len(kept) <= len(want) + 2 * repeats.PART * len(held)
+
+
+def test_a_string_that_only_meets_the_gap_of_two_stretches():
+    """Stretches are joined by a zero byte; a text with that byte may hold what is left and right of it, which is no string of a text."""
+    rng = np.random.default_rng(9)
+    a, b = (bytes(rng.integers(1, 256, 450).astype(np.uint8)) for _ in range(2))
+    held = [a, b, a[-250:] + b"\0" + b[:250], a[:N] + b"!"]
+    begins = [x for h in held for x in [True] * (len(h) - N + 1) + [False] * N][:-1]
+    got = repeats.repeats_in(np.frombuffer(b"\0".join(held), np.uint8), np.array(begins))
+    assert got.tolist() == [0, sum(len(h) + 1 for h in held[:3])]
+
+
 def test_suffix_arrays_and_common_prefixes():
     rng = np.random.default_rng(0)
     for trial in range(200):
